@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat_format, secret_scan, sharding
+from quillon.llm import bpe_codec, chat_format, packing, secret_scan, sharding, token_counts, top_k
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
     "op3_secret_scan": secret_scan.query,
+    "op4_token_counts": token_counts.query,
+    "op5_packing": packing.query,
+    "op7_bpe_codec": bpe_codec.query,
+    "op9_top_k": top_k.query,
     "op10_sharding": sharding.query,
 }
 
 ORACLE_SQL = {
     "op1_chat_format": chat_format.ORACLE_SQL,
+    "op9_top_k": top_k.ORACLE_SQL,
 }
