@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe_codec, chat_format, packing, secret_scan, sharding, token_counts, top_k
+from quillon.llm import bpe_codec, chat_format, packing, secret_scan, sharding, tiff, token_counts, top_k
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
+    "op2_tiff_pages": tiff.query,
     "op3_secret_scan": secret_scan.query,
     "op4_token_counts": token_counts.query,
     "op5_packing": packing.query,
