@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe_codec, chat_format, packing, secret_scan, sharding, tiff, token_counts, top_k
+from quillon.llm import bpe_codec, chat_format, packing, quality, secret_scan, sharding, tiff, token_counts, top_k
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": token_counts.query,
     "op5_packing": packing.query,
     "op7_bpe_codec": bpe_codec.query,
+    "op8_quality": quality.query,
     "op9_top_k": top_k.query,
     "op10_sharding": sharding.query,
 }
