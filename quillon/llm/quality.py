@@ -39,12 +39,15 @@ HIDDEN = 64
 EPOCHS = 60
 BATCH = 256
 RATE = 2e-3
-DECAY = 1e-4
+DECAY = 1e-2
 THRESHOLD = 0.3
 LONGEST_WORD = 40
 LONGEST_SHAPE = 12
 CACHE_ENTRIES = 400_000
 SCALARS = 3
+#: The few scalars would drown among the many coordinates of the vectors.
+SCALAR_GAIN = 3.0
+OUTSIDE = 1 << 32
 
 
 def held_out(doc_id: Column) -> Column:
@@ -74,7 +77,10 @@ def index_vectors(tokens: list[str]) -> np.ndarray:
 
 
 class TokenIds(dict):
-    """word -> word number << 20 | shape number; 0 stands for what the vocabulary lacks."""
+    """word -> word number << 20 | shape number.
+
+    Shapes outside the vocabulary are 0; words outside it keep a number of their own over ``OUTSIDE``, so that repeats show.
+    """
 
     def __init__(self, tokens: list[str]):
         super().__init__()
@@ -83,7 +89,7 @@ class TokenIds(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > CACHE_ENTRIES:
             self.clear()
-        own = self.number.get(word, 0) if len(word) <= LONGEST_WORD else 0
+        own = self.number.get(word) or OUTSIDE + zlib.crc32(word.encode("utf-8", "replace"))
         both = self[word] = own << 20 | self.number.get(shape(word), 0)
         return both
 
@@ -102,11 +108,10 @@ def pooled(words: np.ndarray, shapes: np.ndarray, vectors: np.ndarray) -> np.nda
     for part, ids in enumerate((words, shapes)):
         seen, counts = np.unique(ids, return_counts=True)
         share = (counts / n).astype(np.float32)
-        out[part * DIMENSIONS : (part + 1) * DIMENSIONS] = share @ vectors[seen]
+        out[part * DIMENSIONS : (part + 1) * DIMENSIONS] = share @ vectors[np.where(seen < OUTSIDE, seen, 0)]
         if not part:
-            known = seen > 0
-            out[-3] = float((share[known] ** 2).sum())
-    out[-2] = float(((words[1:] == words[:-1]) & (words[1:] > 0)).sum()) / n
+            out[-3] = float((share**2).sum())
+    out[-2] = float((words[1:] == words[:-1]).sum()) / n
     out[-1] = np.log1p(n)
     return out
 
@@ -211,7 +216,7 @@ def _context(sample: DataFrame, tokens: list[str], own: np.ndarray) -> np.ndarra
         ids, total = TokenIds(tokens), np.zeros_like(own)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for x in ids.of(text):
+                for x in (np.where(y < OUTSIDE, y, 0) for y in ids.of(text)):
                     pairs, times = np.unique(np.stack([x[1:], x[:-1]]), axis=1, return_counts=True)
                     a, b = pairs
                     np.add.at(total, a, own[b] * times[:, None])
@@ -262,6 +267,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     if len(set(y[~apart])) < 2 or len(set(y[apart])) < 2:
         apart = np.zeros(len(y), bool)
     model.centre, model.spread = x[~apart].mean(0), x[~apart].std(0) + 1e-3
+    model.spread[-SCALARS:] /= SCALAR_GAIN
     scaled = (x - model.centre) / model.spread
     model.weights = train(scaled[~apart], y[~apart])
     if apart.any():
