@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe_codec, chat_format, packing, quality, secret_scan, sharding, tiff, token_counts, top_k
+from quillon.llm import bpe_codec, chat_format, packing, quality, secret_scan, sharding, shingle_join, tiff, token_counts, top_k
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_scan": secret_scan.query,
     "op4_token_counts": token_counts.query,
     "op5_packing": packing.query,
+    "op6_shingle_join": shingle_join.query,
     "op7_bpe_codec": bpe_codec.query,
     "op8_quality": quality.query,
     "op9_top_k": top_k.query,
