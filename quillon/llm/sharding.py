@@ -30,7 +30,7 @@ RANGES_PER_SHARD = 128
 ROWS_PER_RANGE = 50_000
 DRAWS = 8
 #: A range with more than this many times the mean is overfull.
-OVERFULL = 2.0
+OVERFULL = 4.0
 ROUNDS = 3
 RECORD_BYTES = 8
 ID_BITS = 23
