@@ -20,3 +20,11 @@ def register(name: str, oracle: str | None = None):
         return query
 
     return enter
+
+
+def load() -> None:
+    """Import the modules that enter queries."""
+    from quillon.plans import timeseries  # noqa: F401
+
+
+load()
