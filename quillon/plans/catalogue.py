@@ -24,7 +24,7 @@ def register(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that enter queries."""
-    from quillon.plans import evalstats, timeseries  # noqa: F401
+    from quillon.plans import evalstats, textpairs, timeseries  # noqa: F401
 
 
 load()

@@ -158,11 +158,11 @@ def template_cross(spark, sf_dir):
 
 
 @register("contrast_curve", """
-WITH r AS (SELECT doc_id, least(1, n_chars / 4000.0) AS raw FROM documents), h AS (SELECT *, least(1, greatest(0, (raw - 0.91) / 0.08)) AS high FROM r)
-SELECT doc_id, round(floor(least(1, greatest(0, 0.98 * high + 0.02 * CASE WHEN high = 0 AND raw > 0.1 THEN 0.1 + (raw - 0.1) * 0.1 ELSE raw END)) * 1e6 + 0.5) / 1e6, 4) AS score FROM h""")
+WITH r AS (SELECT doc_id, least(1, n_chars / 4093.0) AS raw FROM documents), h AS (SELECT *, least(1, greatest(0, (raw - 0.91) / 0.08)) AS high FROM r)
+SELECT doc_id, round(floor(least(1, greatest(0, 0.98 * high + 0.02 * CASE WHEN high = 0 AND raw > 0.1 THEN 0.1 + (raw - 0.1) * 0.1 ELSE raw END)) * 1e6 + 0.5) / 1e6, 6) AS score FROM h""")
 def contrast_curve(spark, sf_dir):
-    raw = F.least(F.lit(1.0), F.col("n_chars") / 4000.0)
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(E.threshold_contrast(raw), 4).alias("score"))
+    raw = F.least(F.lit(1.0), F.col("n_chars") / 4093.0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(E.threshold_contrast(raw), 6).alias("score"))
 
 
 @register("logistic_curve", """
