@@ -1,0 +1,30 @@
+"""Catalogue query for requests in prose (no SQL: the patterns need lookahead)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillon.functions import prompts as P
+from quillon.plans.catalogue import register
+from quillon.session import table
+
+PROMPTS = [
+    "What is the weather in Berlin for the next 3 days?",
+    "Give me a forecast for New York, starting from 2026-08-01, before the cutoff time of 2026-08-02 UTC.",
+    "Coordinates 52.52, 13.405 (Berlin) please",
+    "Will it rain tomorrow in Paris?",
+    "Current conditions at lat 91.5 lon 10.25 over 24 hours",
+    "location: Rio de Janeiro with wind speed, two-day outlook",
+    "no place here",
+]
+
+
+@register("prompt_extract")
+def prompt_extract(spark, sf_dir):
+    literal = table(spark, sf_dir, "region").limit(1).select(F.posexplode(F.array(*(F.lit(p) for p in PROMPTS))).alias("id", "text"))
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn") + 1000).alias("id"), "text")
+    t = F.col("text")
+    return literal.unionByName(turns).select(
+        "id", P.place(t).alias("place"), P.coordinates(t)["lat"].alias("lat"), P.coordinates(t)["lon"].alias("lon"), P.days(t).alias("days"), P.hours(t).alias("hours"),
+        P.wants_forecast(t).alias("forecast"), P.framing(t)["start"].alias("start"), P.framing(t)["cutoff"].alias("cutoff"),
+    )
