@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -41,7 +43,7 @@ BLOCK_TOKENS = 2_000_000
 #: Tokens of a step group.
 STEP_TOKENS = 16_384
 END = (0).to_bytes(4, "little")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 800_000
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint,"
@@ -50,6 +52,11 @@ SCHEMA = (
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _TWO_SPACES = re.compile(r"\s\s")
+#: Pieces of these letters, signs and single line ends the pattern parts where the kind changes, whatever stands beside.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"(?=[^\n])(?:[{_LETTERS}]++|[{_SIGNS}]++|\n(?=[^\n]))++")
+_PART = re.compile(rf"[{_LETTERS}]+|[{_SIGNS}]+|\n")
+_SPECIAL = "<|"
 
 
 def default_path() -> str:
@@ -68,22 +75,39 @@ class PieceIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
-    def _learn(self, kept: dict[str, bytes], lead: str, pieces: set[str]) -> None:
-        import numpy as np
+    def _ask(self, kept: dict[str, bytes], lead: str, new: list[str]) -> None:
+        got = self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)
+        kept.update((p, array("I", x.ids).tobytes()) for p, x in zip(new, got, strict=True))
 
+    def _learn(self, kept: dict[str, bytes], lead: str, pieces: set[str]) -> None:
+        """Only the first part of a plain piece has the space before it."""
         if len(kept) > CACHE_ENTRIES:
             kept.clear()
-        new = [p for p in pieces if p not in kept]
-        for p, x in zip(new, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False), strict=True):
-            kept[p] = np.array(x.ids, "<u4").tobytes()
+        if len(self.bare) > CACHE_ENTRIES:
+            self.bare.clear()
+        whole, parted, bare = set(), [], set()
+        for p in pieces.difference(kept):
+            if _PLAIN.fullmatch(p) and _SPECIAL not in p and len(parts := _PART.findall(p)) > 1:
+                parted.append((p, parts))
+                whole.add(parts[0])
+                bare.update(parts[1:])
+            else:
+                whole.add(p)
+        self._ask(kept, lead, list(whole.difference(kept)))
+        self._ask(self.bare, "", list(bare.difference(self.bare)))
+        kept.update((p, kept[parts[0]] + b"".join([self.bare[x] for x in parts[1:]])) for p, parts in parted)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_INNER_SPACE.split(t) if _TWO_SPACES.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, "", {x[0] for x in cut})
-        self._learn(self.later, " ", {p for x in cut for p in x[1:]})
+        first = [x[0] for x in cut]
+        for x in cut:
+            del x[0]
+        self._learn(self.first, "", set(first))
+        self._learn(self.later, " ", set(chain.from_iterable(cut)))
         later = self.later.__getitem__
-        return [self.first[x[0]] + b"".join(map(later, x[1:])) for x in cut]
+        return [self.first[f] + b"".join(map(later, x)) for f, x in zip(first, cut, strict=True)]
 
 
 @dataclass(slots=True)
@@ -217,6 +241,15 @@ class Packer:
 
 
 _ENCODERS: dict[str, PieceIds] = {}
+
+
+def encoder_of(path: str) -> PieceIds:
+    """One encoder per Python worker: workers import this module, so what it holds outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceIds(path)
+    return _ENCODERS[path]
+
+
 _NAMES = [x.split()[0] for x in SCHEMA.split(",")]
 _TYPES = [{"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in SCHEMA.split(",")]
 
@@ -243,9 +276,7 @@ def pack(
     path = path or default_path()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = PieceIds(path)
-        encoder = _ENCODERS[path]
+        encoder = encoder_of(path)
         packer = Packer(TaskContext.get().partitionId() << 40, tiers)
         block, tokens = [], 0
         for batch in batches:

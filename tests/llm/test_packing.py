@@ -17,6 +17,15 @@ def library():
     return Tokenizer.from_file(packing.default_path())
 
 
+def test_pieces_equal_the_library_on_any_text(library):
+    rng = np.random.default_rng(4)
+    atoms = ["ab", "Été", "x", ".", ",!", "$$$", "'s", "'", "\n", "\n\n", " ", "  ", "\t", "7", "42", "<|", "<|endoftext|>", "|>", "_", "-", "ß", "中", "\xa0", "\x1d", "é", "🙂"]
+    texts = ["".join(rng.choice(atoms, rng.integers(1, 12))) for _ in range(6000)]
+    got = packing.PieceIds(packing.default_path()).encode(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert ids == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def verify(rows, want):
     """want: doc_id -> ids with the end id."""
     pieces, sequences = defaultdict(list), defaultdict(list)
