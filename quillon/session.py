@@ -61,3 +61,11 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written to the shared checkpoint folder and read from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and checkpoints that no live DataFrame needs; Spark's cleaner waits for garbage collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
