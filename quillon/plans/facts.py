@@ -30,7 +30,7 @@ WITH e AS (SELECT event_id, round(value / 2, 1) AS t, round(value / 4, 1) AS w,
   lag(round(value / 2, 1)) OVER o AS t0, lag(round(value / 4, 1)) OVER o AS w0, lag(CAST(json_extract_string(props, '$.k') AS DOUBLE)) OVER o AS h0 FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
 p AS (SELECT event_id, CASE WHEN abs(t - t0) <= 0.5 THEN 0 WHEN abs(t - t0) <= 2 THEN -0.01 ELSE -0.13 END + CASE WHEN abs(w - w0) <= 2 THEN 0 ELSE -0.085 END + CASE WHEN abs(h - h0) <= 5 THEN 0 ELSE -0.08 END AS s
   FROM e WHERE t0 IS NOT NULL)
-SELECT event_id, round(greatest(-0.4, s), 4) AS adjustment FROM p""")
+SELECT event_id, round(CAST(greatest(-0.4, s) AS DOUBLE), 4) AS adjustment FROM p""")
 def fact_penalties(spark, sf_dir):
     before = F.lag("text").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = _reports(spark, sf_dir).withColumn("before", before).where("before IS NOT NULL")

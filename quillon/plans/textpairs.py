@@ -50,7 +50,7 @@ def bm25_pairs(spark, sf_dir):
 
 @register("token_weights", f"""
 WITH t AS ({_tokens_sql('documents', 'doc_id', 'text')})
-SELECT doc_id, count(*) AS n, round(sum(weight), 4) AS total, count(*) FILTER (WHERE weight > 0.5) AS content, count(*) FILTER (WHERE numeric) AS figures FROM t GROUP BY doc_id""")
+SELECT doc_id, count(*) AS n, round(CAST(sum(weight) AS DOUBLE), 4) AS total, count(*) FILTER (WHERE weight > 0.5) AS content, count(*) FILTER (WHERE numeric) AS figures FROM t GROUP BY doc_id""")
 def token_weights(spark, sf_dir):
     rows = P.token_rows(table(spark, sf_dir, "documents"), ["doc_id"], "text")
     return rows.groupBy("doc_id").agg(
