@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.batches import map_batches
 from quillon.llm.components import components
-from quillon.session import durable, table
+from quillon.session import durable, release, table
 
 WORDS, PERCENT = 5, 80
 QUERY_WORDS, QUERY_PERCENT = 3, 90
@@ -85,17 +85,27 @@ def sieve_extra(n, percent: int):
 
 
 def _sets(df: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
-    """text_hash, n, cid, hashes: the whole set, or what the sieve looks at; with the id too for the sieve."""
+    """doc_id, text_hash, n, cid, hashes: the whole set, or what the sieve looks at.
+
+    A class that a task has met before gets no hashes again, so copies are gone before anything is shuffled.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        met: set[int] = set()
+        nothing = np.empty(0, np.uint64)
         for batch in batches:
             sizes, ids, parts = [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingle_set(text, words)
+                cid = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
                 sizes.append(len(s))
-                ids.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)))
+                ids.append(cid)
+                if cid in met:
+                    parts.append(nothing)
+                    continue
+                met.add(cid)
                 parts.append(s if whole else s[: most_missing(len(s), percent) + 1 + sieve_extra(len(s), percent)])
             flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
@@ -126,27 +136,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
-def class_links(read: DataFrame, seen: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes that join them to the components of the full join."""
-    classes = seen.where("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash"))
-    once = seen.where("n > 0").select("cid", "n", "hashes").dropDuplicates(["cid"])
-    looked = once.select("cid", "n", F.explode("hashes").alias("h"))
-    common = looked.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
+def _sieve(seen: DataFrame, percent: int) -> DataFrame:
+    """The classes that share enough of their smallest hashes with others: one text_hash each."""
+    looked = seen.where("n > 0").select("row", "cid", F.explode("hashes").alias("h"))
+    common = looked.groupBy("h").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high").select("h")
+    met = looked.select("row", "h").join(common, "h", "left_semi").groupBy("row").agg(F.count("*").alias("met"))
+    small = seen.where("n > 0 AND size(hashes) > 0").select("row", "cid", "n", "text_hash")
     least = F.floor((percent * F.col("n") + 99) / 100)
-    needed = sieve_extra_column(least, percent) + 1
-    left = durable(
-        looked.join(common, "h", "left_semi").groupBy("cid", "n").agg(F.count("*").alias("met")).where(F.col("met") >= needed).select("cid")
-    )
-    wanted = durable(classes.join(left, "cid", "left_semi").select("text_hash"))
-    sets = durable(_sets(_semi(read, wanted, "text_hash"), words, percent, True).select("cid", "n", "hashes").dropDuplicates(["cid"]))
+    left = small.join(met, "row").where(F.col("met") > sieve_extra_column(least, percent))
+    return durable(left.groupBy("cid").agg(F.min("text_hash").alias("text_hash")).select("text_hash"))
+
+
+def _survivors(read: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
+    """cid, n, hashes: the whole sets of the classes that the sieve left."""
+    sets = _sets(_semi(read, wanted, "text_hash"), words, percent, True).where(F.size("hashes") > 0)
+    return durable(sets.select("cid", "n", "hashes").dropDuplicates(["cid"]))
 
-    rows = sets.select("cid", "n", F.explode("hashes").alias("h"))
-    shared = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = rows.join(shared, "h").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """cid, n, first, prefix: the posted part of each prefix, rarest first, and the position where it begins."""
+    rows = sets.select("cid", F.explode("hashes").alias("h"))
+    shared = rows.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    ordered = rows.join(shared, "h").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     alone = F.col("n") - F.size("s")
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    prefixed = durable(
-        ordered.where(alone < length).select(
+    return durable(
+        ordered.join(sets.select("cid", "n"), "cid")
+        .where(alone < length)
+        .select(
             "cid",
             "n",
             alone.alias("first"),
@@ -154,6 +171,17 @@ def class_links(read: DataFrame, seen: DataFrame, words: int, percent: int) -> D
         )
     )
 
+
+def class_links(read: DataFrame, seen: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes that join them to the components of the full join."""
+    spark = read.sparkSession
+    wanted = _sieve(seen, percent)
+    release(spark)
+    sets = _survivors(read, wanted, words, percent)
+    release(spark)
+    prefixed = _prefixes(sets, percent)
+    release(spark)
+
     def posted(groups: DataFrame, *more: str) -> DataFrame:
         return groups.select("g", "n", *more, "first", F.posexplode("prefix").alias("at", "h")).withColumn("pos", F.col("first") + F.col("at")).drop("first", "at")
 
@@ -174,7 +202,9 @@ def class_links(read: DataFrame, seen: DataFrame, words: int, percent: int) -> D
         to_hub.where("hub IS NOT NULL").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
     )
     first_links = durable(_verified(star.where("a <> b").distinct(), sets, percent))
+    release(spark)
     roots = components(first_links)
+    release(spark)
 
     known = prefixed.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     known = durable(known)
@@ -208,7 +238,7 @@ def class_links(read: DataFrame, seen: DataFrame, words: int, percent: int) -> D
         .join(members.select(F.col("g").alias("g_y"), F.col("cid").alias("b")), "g_y")
         .select("a", "b")
     )
-    return first_links.unionByName(_verified(expanded, sets, percent))
+    return durable(first_links.unionByName(_verified(expanded, sets, percent)))
 
 
 def sieve_extra_column(n: Column, percent: int) -> Column:
@@ -224,8 +254,12 @@ def _passes(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, percent: int
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id per row."""
     read = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    seen = durable(_sets(read, words, percent, False))
-    roots = components(class_links(read, seen, words, percent))
+    looked = durable(_sets(read, words, percent, False).withColumn("row", F.monotonically_increasing_id()))
+    seen = durable(looked.drop("hashes", "row"))
+    links = class_links(read, looked, words, percent)
+    del looked
+    release(df.sparkSession)
+    roots = components(links)
     classes = seen.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
