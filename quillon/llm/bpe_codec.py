@@ -121,15 +121,21 @@ class Codec:
         return [(b"".join(map(ids, pieces)), b" ".join(filter(None, map(said, pieces)))) for pieces in cut]
 
 
+def codec_of(path: str) -> Codec:
+    """One codec per Python worker: workers import this module, so what it holds outlives a task."""
+    if path not in _CODECS:
+        _CODECS[path] = Codec(word_bpe.load(path))
+    return _CODECS[path]
+
+
 def encode(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) and the text decoded from them, per row."""
     path = path or word_bpe.default_path()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _CODECS:
-            _CODECS[path] = Codec(word_bpe.load(path))
+        codec = codec_of(path)
         for batch in batches:
-            done = _CODECS[path].encode_batch([t or "" for t in batch.column(1).to_pylist()])
+            done = codec.encode_batch([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

@@ -50,15 +50,20 @@ class PieceCounts(dict):
                 kept.clear()
 
 
+def counts_of(path: str, whole: frozenset[str]) -> PieceCounts:
+    """One table per Python worker: workers import this module, so what it holds outlives a task."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = PieceCounts(word_bpe.load(path), whole)
+    return _COUNTERS[path]
+
+
 def count_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens per row."""
     path = path or word_bpe.default_path()
     whole = df.sparkSession.sparkContext.broadcast(word_bpe.load(path).whole_tokens())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _COUNTERS:
-            _COUNTERS[path] = PieceCounts(word_bpe.load(path), whole.value)
-        counts = _COUNTERS[path]
+        counts = counts_of(path, whole.value)
         for batch in batches:
             n = [sum(map(counts.__getitem__, t.split(" "))) if t else 0 for t in batch.column(1).to_pylist()]
             counts.forget()

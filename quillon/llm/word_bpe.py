@@ -16,6 +16,20 @@ import re
 CACHE_ENTRIES = 500_000
 
 
+#: A word and the signs after it, which the pattern always parts; normalization only lower-cases these letters.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+def byte_spelling() -> dict[int, str]:
+    """The character that stands for each byte: itself if it shows, else the next free one from 256 on."""
+    shows = lambda b: 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b
+    hidden = [b for b in range(256) if not shows(b)]
+    return {b: chr(b) if shows(b) else chr(256 + hidden.index(b)) for b in range(256)}
+
+
+_SPELL = {ord(bytes([b]).decode("latin-1")): c for b, c in byte_spelling().items()}
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -47,8 +61,11 @@ class WordBpe:
 
     def words(self, piece: str) -> list[str]:
         """The pre-tokens of a piece without spaces, as the vocabulary spells bytes; special tokens as they are."""
-        if piece.isascii() and piece.isalpha():
-            return [piece.lower()]
+        if plain := _PLAIN.fullmatch(piece):
+            word, signs = plain[1].lower(), plain[2]
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(_SPELL)
+            return [word, signs] if signs else [word]
         if "<|" in piece and self._special_at.search(piece):
             return [
                 w
