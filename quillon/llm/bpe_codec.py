@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import word_bpe
 from quillon.llm.batches import map_batches
+from quillon.llm.worker import claim
 from quillon.session import table
 
 _CODECS: dict[str, "Codec"] = {}
@@ -123,6 +124,7 @@ class Codec:
 
 def codec_of(path: str) -> Codec:
     """One codec per Python worker: workers import this module, so what it holds outlives a task."""
+    claim("bpe_codec", _CODECS.clear)
     if path not in _CODECS:
         _CODECS[path] = Codec(word_bpe.load(path))
     return _CODECS[path]

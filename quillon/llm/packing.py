@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.batches import map_batches
+from quillon.llm.worker import claim
 from quillon.session import table
 
 TIERS = (1024, 512, 256, 128)
@@ -245,6 +246,7 @@ _ENCODERS: dict[str, PieceIds] = {}
 
 def encoder_of(path: str) -> PieceIds:
     """One encoder per Python worker: workers import this module, so what it holds outlives a task."""
+    claim("packing", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceIds(path)
     return _ENCODERS[path]

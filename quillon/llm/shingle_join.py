@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.batches import map_batches
 from quillon.llm.components import components
+from quillon.llm.worker import claim
 from quillon.session import durable, release, table
 
 WORDS, PERCENT = 5, 80
@@ -55,6 +56,11 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def claim_hashes() -> None:
+    """Word hashes are kept for the life of a Python worker, or until another operator needs the room."""
+    claim("shingle_join", _HASHES.clear)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -93,6 +99,7 @@ def _sets(df: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        claim_hashes()
         met: set[int] = set()
         nothing = np.empty(0, np.uint64)
         for batch in batches:
@@ -136,15 +143,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
-def _sieve(seen: DataFrame, percent: int) -> DataFrame:
-    """The classes that share enough of their smallest hashes with others: one text_hash each."""
-    looked = seen.where("n > 0").select("row", "cid", F.explode("hashes").alias("h"))
-    common = looked.groupBy("h").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high").select("h")
-    met = looked.select("row", "h").join(common, "h", "left_semi").groupBy("row").agg(F.count("*").alias("met"))
-    small = seen.where("n > 0 AND size(hashes) > 0").select("row", "cid", "n", "text_hash")
+def _sieve(read: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_hash, n, cid of every row; and one text_hash for each class that shares enough of its smallest hashes.
+
+    What a join needs of an aggregate is written first: both sides of the join are then plain exchanges, which adaptive
+    execution can split where one shingle has very many rows.
+    """
+    spark = read.sparkSession
+    looked = durable(_sets(read, words, percent, False).withColumn("row", F.monotonically_increasing_id()))
+    seen = durable(looked.drop("hashes", "row"))
+    rows = looked.where("n > 0").select("row", "cid", F.explode("hashes").alias("h"))
+    common = durable(rows.groupBy("h").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high").select("h"))
+    release(spark)
+    met = rows.select("row", "h").join(common, "h", "left_semi").groupBy("row").agg(F.count("*").alias("met"))
+    small = looked.where("n > 0 AND size(hashes) > 0").select("row", "cid", "n", "text_hash")
     least = F.floor((percent * F.col("n") + 99) / 100)
     left = small.join(met, "row").where(F.col("met") > sieve_extra_column(least, percent))
-    return durable(left.groupBy("cid").agg(F.min("text_hash").alias("text_hash")).select("text_hash"))
+    return seen, durable(left.groupBy("cid").agg(F.min("text_hash").alias("text_hash")).select("text_hash"))
 
 
 def _survivors(read: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
@@ -156,7 +171,8 @@ def _survivors(read: DataFrame, wanted: DataFrame, words: int, percent: int) ->
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """cid, n, first, prefix: the posted part of each prefix, rarest first, and the position where it begins."""
     rows = sets.select("cid", F.explode("hashes").alias("h"))
-    shared = rows.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    shared = durable(rows.groupBy("h").agg(F.count("*").cast("int").alias("df")).where("df > 1"))
+    release(sets.sparkSession)
     ordered = rows.join(shared, "h").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
     alone = F.col("n") - F.size("s")
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
@@ -172,11 +188,9 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def class_links(read: DataFrame, seen: DataFrame, words: int, percent: int) -> DataFrame:
+def class_links(read: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between classes that join them to the components of the full join."""
     spark = read.sparkSession
-    wanted = _sieve(seen, percent)
-    release(spark)
     sets = _survivors(read, wanted, words, percent)
     release(spark)
     prefixed = _prefixes(sets, percent)
@@ -188,7 +202,7 @@ def class_links(read: DataFrame, seen: DataFrame, words: int, percent: int) -> D
     groups = prefixed.groupBy("prefix", "n", "first").agg(F.min("cid").alias("g"))
     member_of = prefixed.join(groups, ["prefix", "n", "first"]).select("cid", "g")
     posts = posted(groups)
-    hubs = posts.groupBy("h").agg(F.min(F.struct("pos", "n", "g")).alias("hub"))
+    hubs = durable(posts.groupBy("h").agg(F.min(F.struct("pos", "n", "g")).alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k"))
     near = (
         posts.join(hubs, "h")
         .where(F.col("g") != F.col("hub.g"))
@@ -218,7 +232,7 @@ def class_links(read: DataFrame, seen: DataFrame, words: int, percent: int) -> D
         .where("roots > 1")
         .select("h", F.col("most.root").alias("main"))
     )
-    mixed = durable(posts.join(largest, "h"))
+    mixed = durable(posts.join(durable(largest), "h"))
     x = mixed.where("root <> main").select("h", *(F.col(c).alias(f"{c}_x") for c in ("g", "n", "pos", "root")))
     y = mixed.select("h", "main", *(F.col(c).alias(f"{c}_y") for c in ("g", "n", "pos", "root")))
     pairs = (
@@ -254,10 +268,9 @@ def _passes(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, percent: int
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id per row."""
     read = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    looked = durable(_sets(read, words, percent, False).withColumn("row", F.monotonically_increasing_id()))
-    seen = durable(looked.drop("hashes", "row"))
-    links = class_links(read, looked, words, percent)
-    del looked
+    seen, wanted = _sieve(read, words, percent)
+    release(df.sparkSession)
+    links = class_links(read, wanted, words, percent)
     release(df.sparkSession)
     roots = components(links)
     classes = seen.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))

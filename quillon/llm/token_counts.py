@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import word_bpe
 from quillon.llm.batches import map_batches
+from quillon.llm.worker import claim
 from quillon.session import table
 
 LIMIT_TOKENS = 2048
@@ -52,6 +53,7 @@ class PieceCounts(dict):
 
 def counts_of(path: str, whole: frozenset[str]) -> PieceCounts:
     """One table per Python worker: workers import this module, so what it holds outlives a task."""
+    claim("token_counts", _COUNTERS.clear)
     if path not in _COUNTERS:
         _COUNTERS[path] = PieceCounts(word_bpe.load(path), whole)
     return _COUNTERS[path]
