@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.batches import map_batches
+from quillon.llm.worker import claim
 from quillon.session import durable, table
 
 FIT_ROWS = 6_000
@@ -48,6 +49,7 @@ SCALARS = 3
 #: The few scalars would drown among the many coordinates of the vectors.
 SCALAR_GAIN = 3.0
 OUTSIDE = 1 << 32
+PAIRS_AT_ONCE = 500_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -187,7 +189,7 @@ def fitting_sample(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS
     chosen = known.withColumn("number", F.xxhash64("doc_id")).orderBy("number", "doc_id").limit(rows)
     once = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # Repeated rows of one id could outgrow the bound, so one of them is taken.
-    return once.groupBy("doc_id", "number", "label").agg(F.max("text").alias("text")).repartitionByRange(FIT_PARTS, "number")
+    return once.groupBy("doc_id", "number", "label").agg(F.max("text").alias("text"))
 
 
 def _vocabulary(sample: DataFrame) -> list[str]:
@@ -207,33 +209,55 @@ def _vocabulary(sample: DataFrame) -> list[str]:
     return [r.token for r in counted.where(F.col("n") > 1).orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()]
 
 
+def add_context(total: np.ndarray, sequences: list[np.ndarray], own: np.ndarray) -> None:
+    """Add to each token's row the index vectors of its neighbours in the sequences, a nonzero coordinate at a time."""
+    rows, size = own.shape
+    at = np.zeros((rows, NONZERO), np.int64)
+    at[1:] = np.nonzero(own[1:])[1].reshape(-1, NONZERO)
+    sign = np.take_along_axis(own, at, axis=1)
+    pairs = np.concatenate([np.stack([x[1:], x[:-1]]) for x in sequences], axis=1)
+    keys, times = np.unique(np.concatenate([pairs[0] * rows + pairs[1], pairs[1] * rows + pairs[0]]), return_counts=True)
+    for start in range(0, len(keys), PAIRS_AT_ONCE):
+        token, beside = np.divmod(keys[start : start + PAIRS_AT_ONCE], rows)
+        cells = (token[:, None] * size + at[beside]).ravel()
+        weights = (sign[beside] * times[start : start + PAIRS_AT_ONCE, None]).ravel()
+        total += np.bincount(cells, weights, rows * size).reshape(rows, size)
+
+
 def _context(sample: DataFrame, tokens: list[str], own: np.ndarray) -> np.ndarray:
     """For each token the sum of its neighbours' index vectors over the sample: words beside words, shapes beside shapes."""
     sent = sample.sparkSession.sparkContext.broadcast((tokens, own))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, own = sent.value
-        ids, total = TokenIds(tokens), np.zeros_like(own)
+        ids, total = ids_of(tokens), np.zeros(own.shape)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for x in (np.where(y < OUTSIDE, y, 0) for y in ids.of(text)):
-                    pairs, times = np.unique(np.stack([x[1:], x[:-1]]), axis=1, return_counts=True)
-                    a, b = pairs
-                    np.add.at(total, a, own[b] * times[:, None])
-                    np.add.at(total, b, own[a] * times[:, None])
+            found = [np.where(y < OUTSIDE, y, 0) for t in batch.column(0).to_pylist() for y in ids.of(t)]
+            if found:
+                add_context(total, found, own)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], ["sums"])
 
     total = np.zeros_like(own)
-    for row in map_batches(sample.select("text"), work, "sums binary").collect():
+    # Few tasks, each with one vocabulary-sized sum, whatever the number of partitions of the sample.
+    for row in map_batches(sample.select("text").coalesce(FIT_PARTS), work, "sums binary").collect():
         total += np.frombuffer(bytes(row.sums), "<f4").reshape(total.shape)
     return total
 
 
-def _features(sent, rows: list[str | None], kept: dict) -> np.ndarray:
-    model = sent.value
-    if "ids" not in kept:
-        kept["ids"] = TokenIds(model.tokens)
-    ids = kept["ids"]
+_IDS: dict[int, TokenIds] = {}
+
+
+def ids_of(tokens: list[str]) -> TokenIds:
+    """The table of the vocabulary in use, one per Python worker, which outlives a task."""
+    claim("quality", _IDS.clear)
+    mark = hash(tuple(tokens))
+    if mark not in _IDS:
+        _IDS.clear()
+        _IDS[mark] = TokenIds(tokens)
+    return _IDS[mark]
+
+
+def features(model: Model, rows: list[str | None], ids: TokenIds) -> np.ndarray:
     return np.stack([pooled(*ids.of(t), model.vectors) for t in rows])
 
 
@@ -249,9 +273,9 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict = {}
+        ids = ids_of(sent.value.tokens)
         for batch in batches:
-            x = _features(sent, batch.column(2).to_pylist(), kept)
+            x = features(sent.value, batch.column(2).to_pylist(), ids)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], ["number", "label", "x"]
             )
@@ -284,11 +308,11 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read.schema.fields[:-1])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict = {}
+        ids = ids_of(sent.value.tokens)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = sent.value.probability(_features(sent, batch.column(len(names)).to_pylist(), kept))
+            p = sent.value.probability(features(sent.value, batch.column(len(names)).to_pylist(), ids))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p, pa.float64())], [*names, "score"])
 
     return map_batches(read, work, f"{schema}, score double").withColumnsRenamed(dict(zip(names, keep, strict=True)))
