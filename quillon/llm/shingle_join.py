@@ -15,6 +15,10 @@ classes. The steps:
    filters; pairs that pass are expanded to members and verified. Pairs within one component are never formed, so a large
    family of near copies costs about its size, and no link between components is lost.
 
+That is near_groups(). The join itself is near_links(): after step 3 all groups that share a posted shingle meet, also inside
+a component, and every pair of classes that passes is verified; link_counts() derives each row's number of links from it. Its
+cost grows with the number of links, thus with the square of the distinct texts in a family.
+
 Defined cases: texts without words, and null texts, have no set, link with nothing and form components of their own; texts
 with fewer words than a shingle have one shingle, the whole sequence; rows are documents, so repeated rows are linked
 copies, and rows that share an id but not the text are judged apart; null ids are allowed (a component's id is the smallest
@@ -188,17 +192,46 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def class_links(read: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes that join them to the components of the full join."""
+def posted(groups: DataFrame, *more: str) -> DataFrame:
+    """g, n, the named columns, h, pos: a row for each posted shingle of a group."""
+    return groups.select("g", "n", *more, "first", F.posexplode("prefix").alias("at", "h")).withColumn("pos", F.col("first") + F.col("at")).drop("first", "at")
+
+
+def all_links(read: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
+    """Every link (a, b), a < b, between classes."""
     spark = read.sparkSession
     sets = _survivors(read, wanted, words, percent)
     release(spark)
     prefixed = _prefixes(sets, percent)
     release(spark)
+    groups = durable(prefixed.groupBy("prefix", "n", "first").agg(F.min("cid").alias("g")))
+    members = durable(prefixed.join(groups, ["prefix", "n", "first"]).select("cid", "g"))
+    posts = durable(posted(groups))
+    x, y = (posts.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("g", "n", "pos"))) for side in "xy")
+    across = (
+        x.join(y, "h")
+        .where(F.col("g_x") < F.col("g_y"))
+        .where(_passes(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"), percent))
+        .select("g_x", "g_y")
+        .distinct()
+    )
+    met = across.unionByName(groups.select(F.col("g").alias("g_x"), F.col("g").alias("g_y")))
+    expanded = (
+        met.join(members.select(F.col("g").alias("g_x"), F.col("cid").alias("a")), "g_x")
+        .join(members.select(F.col("g").alias("g_y"), F.col("cid").alias("b")), "g_y")
+        .where((F.col("g_x") != F.col("g_y")) | (F.col("a") < F.col("b")))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    )
+    return durable(_verified(expanded, sets, percent))
 
-    def posted(groups: DataFrame, *more: str) -> DataFrame:
-        return groups.select("g", "n", *more, "first", F.posexplode("prefix").alias("at", "h")).withColumn("pos", F.col("first") + F.col("at")).drop("first", "at")
 
+def class_links(read: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes that join them to the components of the full join."""
+    spark = read.sparkSession
+    sets = _survivors(read, wanted, words, percent)
+    release(spark)
+    prefixed = _prefixes(sets, percent)
+    release(spark)
     groups = prefixed.groupBy("prefix", "n", "first").agg(F.min("cid").alias("g"))
     member_of = prefixed.join(groups, ["prefix", "n", "first"]).select("cid", "g")
     posts = posted(groups)
@@ -265,9 +298,35 @@ def _passes(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column, percent: int
     return close & (F.least(n_a - pos_a, n_b - pos_b) >= _overlap_needed(n_a, n_b, percent))
 
 
+def _read(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+
+
+def near_links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (a, b), a < b, for every two classes that are linked, and doc_id, text_hash, n_shingles, cid per row.
+
+    Rows of one class (cid) are linked copies of each other, which the pairs do not list; rows without a set have no cid.
+    """
+    read = _read(df, doc_id, text)
+    seen, wanted = _sieve(read, words, percent)
+    release(df.sparkSession)
+    links = all_links(read, wanted, words, percent)
+    return links, seen.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
+
+
+def link_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n_shingles, n_links per row: how many other rows it is linked with, copies included."""
+    links, rows = near_links(df, doc_id, text, words, percent)
+    sizes = durable(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("k")))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.select(F.col("cid").alias("b"), "k"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("k").alias("others"))
+    counted = sizes.join(others, "cid", "left").select("cid", (F.col("k") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(counted, "cid", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id per row."""
-    read = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    read = _read(df, doc_id, text)
     seen, wanted = _sieve(read, words, percent)
     release(df.sparkSession)
     links = class_links(read, wanted, words, percent)

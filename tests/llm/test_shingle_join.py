@@ -80,3 +80,28 @@ def test_chain_of_links_without_a_centre(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert shingle_join.near_groups(df).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "k", "percent"), [(3, 3, 90), (4, 5, 80)])
+def test_links_equal_all_pairs(spark, seed, k, percent):
+    """Every link, also between texts that other links join already."""
+    rows = corpus(seed, families=4, per=10) + [(1, None), (2, ""), (4, "one"), (5, "One"), (6, "one two"), (12, "same row"), (12, "same row")]
+    rows += [(None, "null id here now"), (11, "null id here now"), (13, "a b c d e f g"), (13, "other text under one id")]
+    long = [f"z{i}" for i in range(200)]
+    rows += [(60 + i, " ".join(long[:-1] + [f"end{i}"])) for i in range(4)]
+    s = [sets(t, k) for _, t in rows]
+
+    def linked(i, j):
+        both = len(s[i] & s[j])
+        return i != j and s[i] and s[j] and 100 * both >= percent * (len(s[i]) + len(s[j]) - both)
+
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted((d is None, d, len(s[i]), sum(bool(linked(i, j)) for j in range(len(rows)))) for i, (d, _) in enumerate(rows))
+    got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.n_links) for r in shingle_join.link_counts(df, words=k, percent=percent).collect())
+    assert got == want
+    pairs, members = shingle_join.near_links(df, words=k, percent=percent)
+    listed = [(r.a, r.b) for r in pairs.collect()]
+    distinct = list({x for x in s if x})
+    index = [s.index(x) for x in distinct]
+    assert len(listed) == len(set(listed)) == sum(bool(linked(i, j)) for i in index for j in index) // 2
+    assert all(a < b for a, b in listed) and members.where("cid IS NOT NULL").select("cid").distinct().count() == len(distinct)
