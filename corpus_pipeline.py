@@ -26,12 +26,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five words, similarity 0.8) the row with the smallest id stays.
 
-    Rows without a set are components of their own. Of rows that share both id and text one stays.
+    Components are told apart by their root, as unrelated ones can share the smallest id. Rows without a set are components of their own. Of rows that share both id and text one stays.
     """
     columns = docs.columns
     found = shingle_join.near_groups(docs, words=shingle_join.WORDS, percent=shingle_join.PERCENT)
     named = F.struct("doc_id", "text_hash")
-    first = found.where("n_shingles > 0 AND component_id IS NOT NULL").groupBy("component_id").agg(F.min(F.when(F.col("doc_id").isNotNull(), named)).alias("x"))
+    first = found.where("n_shingles > 0 AND component_id IS NOT NULL").groupBy("root").agg(F.min(F.when(F.col("doc_id").isNotNull(), named)).alias("x"))
     alone = found.where("n_shingles = 0 OR component_id IS NULL").select(named.alias("x"))
     keep = first.select("x").unionByName(alone).select("x.doc_id", "x.text_hash").distinct()
     marked = docs.withColumn("_text_hash", F.xxhash64("text")).alias("d")

@@ -325,7 +325,10 @@ def link_counts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
 
 
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id per row."""
+    """doc_id, text_hash, n_shingles, component_id, root per row.
+
+    The root is a class of the component and tells components apart that have the same smallest doc_id; null without a set.
+    """
     read = _read(df, doc_id, text)
     seen, wanted = _sieve(read, words, percent)
     release(df.sparkSession)
@@ -335,11 +338,11 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     classes = seen.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(whole, "root").select("cid", "component_id")
+    named = rooted.join(whole, "root").select("cid", "component_id", "root")
     return (
         seen.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
         .join(named, "cid", "left")
-        .select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
     )
 
 

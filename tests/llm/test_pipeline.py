@@ -38,6 +38,15 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
 
 
+def test_unrelated_components_that_share_the_smallest_id(spark, tmp_path):
+    one = " ".join(f"a{i}" for i in range(40))
+    other = " ".join(f"b{i}" for i in range(40))
+    docs = [(7, one), (8, one + " more"), (7, other), (9, other + " more"), (7, "third text with no copy at all")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = corpus_pipeline.near_duplicate_stage(spark, df, str(tmp_path)).collect()
+    assert sorted(map(tuple, left)) == sorted([docs[0], docs[2], docs[4]])
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
