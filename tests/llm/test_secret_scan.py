@@ -61,6 +61,24 @@ def test_battery_tells_random_strings_from_words(spark):
     assert not [plain[i - 60] for i in hit if i >= 60]
 
 
+def test_random_strings_of_each_encoding_are_found(spark):
+    rng = random.Random(4)
+    drawn = [(name, n, "".join(rng.choice(letters) for _ in range(n))) for name, _, letters in secret_scan.ENCODINGS for n in (32, 52) for _ in range(100)]
+    prose = [re.findall(r"\b[a-z]+\b", r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    written = ["".join(w[i : i + 16])[:40] for w in prose for i in range(0, len(w) - 16, 16)][:600]
+    written += ["0123456789" * 3, "1" * 30, "00000000000012345678", "11223344556677889900"]
+    rows = [t for *_, t in drawn] + written
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(rows)], "doc_id long, text string")
+    hit = {r.doc_id for r in secret_scan.scan(df).collect() if any(x.kind_no == 3 for x in r.found)}
+    for name, n in {(name, n) for name, n, _ in drawn}:
+        assert sum(i in hit for i, d in enumerate(drawn) if d[:2] == (name, n)) >= 85, (name, n)
+    assert sum(i >= len(drawn) for i in hit) <= 0.03 * len(written)
+    one_of_ten = [(i, " ".join([t, *written[9 * i : 9 * i + 9]])) for i, t in enumerate(t for name, n, t in drawn if n == 52 and name in ("decimal", "lower", "upper", "base32"))]
+    df = spark.createDataFrame([(i, t) for i, t in one_of_ten if len(t.split()) == 10], "doc_id long, text string")
+    first = [any(x.kind_no == 3 and x.start == 0 for x in r.found) for r in secret_scan.scan(df).collect()]
+    assert sum(first) >= 0.8 * len(first) > 0
+
+
 def test_redaction_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a password=b7db7aa4a5fcc78305 z"), (2, "clean"), (3, None)], "doc_id long, text string")
     found = secret_scan.scan(df, keep=("doc_id", "text"))
