@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,24 +51,68 @@ def ship_package(spark: SparkSession) -> None:
     sc._quillon_shipped = True
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; a folder of our own only where that is unset."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which all machines share; in local mode a folder of our own where that is unset."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoints-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written to the shared checkpoint folder and read from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Intermediate tables: written as Parquet under the shared checkpoint folder, deleted as soon as no step needs them.
+
+    As a context it also lets Spark delete the shuffle files of each query that runs inside once that query has ended.
+    What is kept at the end (the result may read it) goes when the application ends.
+    """
+
+    _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{checkpoint_folder(spark)}/quillon-{uuid.uuid4().hex}"
+        self.number = 0
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files and checkpoints that no live DataFrame needs; Spark's cleaner waits for garbage collection."""
-    import gc
+    def __enter__(self) -> Scratch:
+        self.before = self.spark.conf.get(self._CLEANUP, "false")
+        self.spark.conf.set(self._CLEANUP, "true")
+        return self
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def __exit__(self, kind, error, trace) -> None:
+        self.spark.conf.set(self._CLEANUP, self.before)
+        if kind is not None:
+            delete_folder(self.spark, self.folder)
+        else:
+            atexit.register(self._at_exit)
+
+    def _at_exit(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the application may be gone already
+                delete_folder(self.spark, self.folder)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows, read from a written table: its lineage starts there."""
+        self.number += 1
+        path = f"{self.folder}/{self.number}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        kept._quillon_path = path
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        for kept in tables:
+            delete_folder(self.spark, kept._quillon_path)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage: the rows are written to the shared checkpoint folder and read from there."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
