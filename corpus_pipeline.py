@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import packing, quality, secret_scan, shingle_join
-from quillon.session import ensure_checkpoint_dir, table
+from quillon.session import checkpoint_folder, delete_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
