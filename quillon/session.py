@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED = "quillon.shipped"
 
@@ -67,6 +69,12 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner take the broadcasts and plans of queries that have ended: it waits until both sides have let go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Intermediate tables: written as Parquet under the shared checkpoint folder, deleted as soon as no step needs them.
 
@@ -88,6 +96,7 @@ class Scratch:
 
     def __exit__(self, kind, error, trace) -> None:
         self.spark.conf.set(self._CLEANUP, self.before)
+        tidy(self.spark)
         if kind is not None:
             delete_folder(self.spark, self.folder)
         else:
@@ -107,6 +116,12 @@ class Scratch:
         kept._quillon_path = path
         return kept
 
+    def keep_counted(self, df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+        """keep(), and the number of rows for which the condition holds, counted while they are written."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, F.count(F.when(condition, 1)).alias("n")))
+        return kept, seen.get["n"]
+
     def drop(self, *tables: DataFrame) -> None:
         for kept in tables:
             delete_folder(self.spark, kept._quillon_path)
