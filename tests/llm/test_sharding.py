@@ -1,6 +1,9 @@
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+
 from quillon.llm import sharding
 
 
@@ -38,3 +41,21 @@ def test_equal_texts_stay_together_where_they_fit(spark):
 def test_nulls_repeats_and_empty(spark):
     check(spark, [(None, None), (None, None), (5, "a"), (5, "a"), (5, "b"), (6, "")])
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_many_rows_alike_in_every_respect(spark, doc_id):
+    """A third and more of the table is one record repeated: shards are near equal all the same."""
+    rows = [(doc_id, "one text that is repeated")] * 12_000 + [(100 + i, f"other text {i}") for i in range(8000)]
+    got = check(spark, rows, 0.06)
+    assert len({r.shard for r in got}) == 24
+
+
+def test_places_by_key_and_tie():
+    """Against the plain order of pairs."""
+    rng = np.random.default_rng(1)
+    cuts = sharding.Cuts(rng.integers(0, 20, 30), rng.integers(0, 1 << 31, 30))
+    keys, ties = rng.integers(-3, 25, 3000), rng.integers(0, 1 << 31, 3000)
+    keys[:30], ties[:30] = cuts.keys, cuts.ties
+    splitters = list(zip(cuts.keys.tolist(), cuts.ties.tolist()))
+    assert cuts.place(keys, ties).tolist() == [sum(s <= (k, t) for s in splitters) for k, t in zip(keys.tolist(), ties.tolist())]
