@@ -2,19 +2,23 @@
 
 Vectors are turned by the right singular vectors of the whole table (from its Gram matrix), so that the leading
 coordinates carry most of every product, and dealt to blocks by descending length. The block with the longest vectors
-gives each query a first k-th best score. Then every block of queries meets every block of vectors: a query whose length
-times the block's longest does not reach its k-th best skips the block; for the others vectors are taken by descending
-length in steps, products of the leading coordinates are formed, and a vector is dropped when these plus the
-product of the residual lengths stay below the k-th best. What is left is scored exactly in whole numbers. Bounds
-carry a margin for rounding, and a score that equals the k-th best is kept, so ties are decided by the smaller id.
-
-Queries are never gathered whole: they travel in blocks, once for each block of vectors, and only k rows per query and
-block come back. A hot vector only makes ties, which each block cuts to k.
-
-Defined cases: vectors that are null, or hold a null or a non-finite component, take no part, nor do rows with a null id;
-rows alike in id and vector count once; shorter vectors count as filled up with zeros; components are floored in
-double precision and must stay below 2**45 in size for exact scores (larger ones are cut to that); a query with fewer than
-k candidates gets all of them; an empty table gives an empty result; other columns are ignored.
+gives each query a first k-th best score. A query needs vectors of at least that score over its own length; queries are dealt
+to blocks by that need, and a block of queries goes only to the blocks of vectors whose longest vector reaches the least need
+in it. There a query whose length times the block's longest does not reach its k-th best skips the block; for the
+others vectors are taken by descending length in steps, products of the leading coordinates are formed, and a vector is
+dropped when these plus the product of the residual lengths stay below the k-th best. What is left is scored exactly in
+whole numbers. Bounds carry a margin for rounding, and a score that equals the k-th best is kept, so ties are decided by the
+smaller id.
+
+Queries are never gathered whole: they travel in blocks, and only k rows per query and block come back. A hot vector only makes
+ties, which each block cuts to k. Blocks are dealt by row, so neither many rows of one vector nor many of one id outgrow a block.
+
+Defined cases: vectors that are null, or hold a null or a non-finite component, or one of 1e150 or more after scaling, take no
+part, nor do rows with a null id; every row counts, so a repeated row is as many candidates, and rows of a query's own id are
+not its candidates; if a query id has several rows, the products of all of them are ranked together; shorter vectors count
+as filled up with zeros; scores beyond 64 bits are given as the largest or smallest number of 64 bits, and are ranked by
+their nearest double, then by id; a query with fewer than k candidates gets all of them; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillon.session import durable, ship_package, table
+from quillon.session import Scratch, ship_package, table
 
 SCALE = 1024
 K = 10
@@ -38,7 +42,9 @@ BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 LEADING = 16
 STEP_ROWS = 1024
-_LARGEST = float(1 << 45)
+#: Query blocks are dealt by this many levels of need.
+NEED_LEVELS = 32
+_LARGEST = 1e150
 #: Products below this are exact in double precision.
 _EXACT = float(1 << 53)
 
@@ -51,22 +57,13 @@ def _matrix(vectors, width: int) -> np.ndarray:
 
 
 def usable(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id, whole: the vectors that take part, floored, once each."""
-    finite = F.forall(
-        vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != F.lit(float("inf")))
-    )
-    return (
-        df.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull())
-        .where(finite)
-        .select(
-            F.col(vec_id).cast("bigint").alias("vec_id"),
-            F.transform(
-                F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), x.cast("double") * scale)))),
-                lambda x: x.cast("double"),
-            ).alias("whole"),
-        )
-        .dropDuplicates(["vec_id", "whole"])
-    )
+    """vec_id, whole, row: the vectors that take part, floored, each with a number of its own."""
+    scaled = F.transform(vector, lambda x: x.cast("double") * scale)
+    read = df.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(vec_id).cast("bigint").alias("vec_id"), scaled.alias("scaled"))
+    fine = F.forall("scaled", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < _LARGEST))
+    # From 2**53 on every double is a whole number.
+    whole = F.transform("scaled", lambda x: F.when(F.abs(x) >= _EXACT, x).otherwise(F.floor(x).cast("double")))
+    return read.where(fine).select("vec_id", whole.alias("whole"), F.monotonically_increasing_id().alias("row"))
 
 
 def rotation(vectors: DataFrame, width: int) -> np.ndarray:
@@ -90,8 +87,8 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
 
 def score_block(
     queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, vectors: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query row, vector id, score) of each query's k best in the block, and how many products were formed in full.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query row, vector id, score, its double) of each query's k best in the block, and how many products were formed in full.
 
     ``floors`` are scores that k candidates of the query are known to reach (-inf where unknown).
     """
@@ -102,7 +99,7 @@ def score_block(
     q_length, v_length = np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1)
     q_rest, v_rest = np.linalg.norm(q_turned[:, lead:], axis=1), np.linalg.norm(v_turned[:, lead:], axis=1)
     floors = floors.astype(np.float64).copy()
-    best: list[list[np.ndarray]] = [[np.empty(0, np.int64), np.empty(0, np.int64)] for _ in queries]
+    best: list[list[np.ndarray]] = [[np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)] for _ in queries]
     formed = 0
     large = (q_length.max(initial=0) * v_length.max(initial=0)) >= _EXACT
     for at in range(0, len(vectors), STEP_ROWS):
@@ -118,23 +115,28 @@ def score_block(
                 continue
             formed += len(near)
             if large:
-                own = queries[q].astype(np.int64).astype(object)
-                exact = [int(v.astype(np.int64).astype(object) @ own) for v in vectors[step][near]]
+                own = [int(x) for x in queries[q]]
+                exact = [sum(int(x) * y for x, y in zip(v, own, strict=True)) for v in vectors[step][near]]
+                wide = np.array([float(s) for s in exact])
                 scores = np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in exact], np.int64)
             else:
                 scores = (vectors[step][near] @ queries[q]).astype(np.int64)
-            scores = np.concatenate([best[q][0], scores])
-            named = np.concatenate([best[q][1], ids[step][near]])
-            top = np.lexsort((named, -scores))[:k]
-            best[q] = [scores[top], named[top]]
+                wide = scores.astype(np.float64)
+            wide = np.concatenate([best[q][0], wide])
+            scores = np.concatenate([best[q][1], scores])
+            named = np.concatenate([best[q][2], ids[step][near]])
+            # Not -scores: the smallest number of 64 bits has no opposite. ~x falls as x rises.
+            top = np.lexsort((named, ~scores, -wide))[:k]
+            best[q] = [wide[top], scores[top], named[top]]
             if len(top) == k:
-                floors[q] = max(floors[q], float(scores[top[-1]]))
+                floors[q] = max(floors[q], float(wide[top[-1]]))
     rows = np.repeat(np.arange(len(queries)), [len(b[0]) for b in best])
-    empty = [np.empty(0, np.int64)]
-    return rows, np.concatenate([b[1] for b in best] or empty), np.concatenate([b[0] for b in best] or empty), formed
+    if not best:
+        return rows, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), formed
+    return rows, np.concatenate([b[2] for b in best]), np.concatenate([b[1] for b in best]), np.concatenate([b[0] for b in best]), formed
 
 
-_RESULT = "query_id bigint, vec_id bigint, score bigint"
+_RESULT = "query_id bigint, vec_id bigint, score bigint, wide double"
 
 
 def _scorer(sent, k: int):
@@ -145,26 +147,36 @@ def _scorer(sent, k: int):
             for r in b.itertuples():
                 queries = np.frombuffer(r.q_whole).reshape(-1, width)
                 q_ids = np.frombuffer(r.q_ids, np.int64)
-                rows, ids, scores, _ = score_block(
+                rows, ids, scores, wide, _ = score_block(
                     queries, q_ids, np.frombuffer(r.q_floors), np.frombuffer(r.whole).reshape(-1, width), np.frombuffer(r.ids, np.int64), turn, k
                 )
-                yield pd.DataFrame({"query_id": q_ids[rows], "vec_id": ids, "score": scores})
+                yield pd.DataFrame({"query_id": q_ids[rows], "vec_id": ids, "score": scores, "wide": wide})
 
     return work
 
 
-def _packed(rows: DataFrame, group: str, width: int, extra: str | None = None) -> DataFrame:
-    """One row per group: ids and vectors as bytes; groups are of bounded size."""
+def _packed(rows: DataFrame, width: int, extra: str | None = None) -> DataFrame:
+    """One row per block: ids and vectors as bytes, and the longest length; blocks are of bounded size."""
 
-    def work(key, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("vec_id", kind="stable")
-        out = {"block": [key[0]], "ids": [b["vec_id"].to_numpy(np.int64).tobytes()], "whole": [_matrix(b["whole"], width).tobytes()]}
+    def work(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("row", kind="stable")
+        whole = _matrix(b["whole"], width)
+        out = {"block": [key[0]], "ids": [b["vec_id"].to_numpy(np.int64).tobytes()], "whole": [whole.tobytes()]}
+        lengths = np.linalg.norm(whole, axis=1)
+        out["longest"] = [float(lengths.max()) * (1 + 1e-9)]
         if extra:
-            out["floors"] = [b[extra].to_numpy(np.float64).tobytes()]
+            floors = b[extra].to_numpy(np.float64)
+            out["floors"] = [floors.tobytes()]
+            out["need"] = [float(need_of(floors, lengths).min())]
         return pd.DataFrame(out)
 
-    schema = "block bigint, ids binary, whole binary" + (", floors binary" if extra else "")
-    return rows.groupBy(group).applyInPandas(work, schema)
+    schema = "block bigint, ids binary, whole binary, longest double" + (", floors binary, need double" if extra else "")
+    return rows.groupBy("block").applyInPandas(work, schema)
+
+
+def need_of(floors: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The least length of a vector that can reach the floor; a floor of zero or less can be reached by any."""
+    return np.where((floors > 0) & (lengths > 0), floors / np.maximum(lengths, 1e-300) * (1 - 1e-9), np.where(floors > 0, np.inf, -np.inf))
 
 
 def top_k(
@@ -173,65 +185,87 @@ def top_k(
     """query_id, rank, vec_id, score for each query: the rows whose id is divisible by ``every``."""
     spark = df.sparkSession
     ship_package(spark)
-    taken = usable(df, vec_id, vector, scale).withColumn(
-        "square", F.aggregate("whole", F.lit(0.0), lambda a, x: a + x * x)
+    with Scratch(spark) as scratch:
+        found = _found(df, k, every, vec_id, vector, scale, scratch)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("wide"), F.desc("score"), "vec_id"))
+    return (
+        found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )
-    vectors = durable(taken)
-    rows, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("whole")), F.lit(0))).first()
-    width = max(width, 1)
-    blocks = -(-rows // BLOCK_ROWS) or 1
-    turn = spark.sparkContext.broadcast(rotation(vectors, width))
-    # Splitters of the lengths, from a bounded draw; the longest vectors come first.
-    drawn = min(1.0, 64.0 * blocks / max(rows, 1))
-    chance = F.pmod(F.xxhash64("vec_id", "square"), F.lit(1 << 20)) / float(1 << 20)
-    sample = np.sort(vectors.where(chance < drawn).select("square").toPandas()["square"].to_numpy())[::-1]
-    cuts = np.unique(sample[(np.arange(1, blocks) * len(sample)) // blocks]) if len(sample) else np.empty(0)
-    cuts_sent = spark.sparkContext.broadcast(cuts)
+
+
+def _banded(rows: DataFrame, value: str, cuts: np.ndarray, most: int) -> DataFrame:
+    """rows with their block: bands of the value, highest first, each divided by row so that no block outgrows ``most``."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(cuts)
 
     @F.pandas_udf(T.LongType())
-    def band(square: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts_sent.value) - np.searchsorted(cuts_sent.value, square.to_numpy(), side="right"))
+    def band(x: pd.Series) -> pd.Series:
+        return pd.Series(len(sent.value) - np.searchsorted(sent.value, x.to_numpy(), side="right"))
 
-    banded = vectors.withColumn("band", band("square"))
-    # A band of many equal lengths is divided by id, so that no block outgrows its size.
+    banded = rows.withColumn("band", band(value))
     counts = banded.groupBy("band").count().toPandas()
     parts = spark.createDataFrame(
-        [(int(b), max(1, -(-int(c) // BLOCK_ROWS))) for b, c in zip(counts["band"], counts["count"], strict=True)], "band bigint, parts int"
-    )
-    dealt = banded.join(F.broadcast(parts), "band").select(
-        "vec_id", "whole", (F.col("band") * (1 << 20) + F.pmod(F.xxhash64("vec_id"), "parts")).alias("block")
+        [(int(b), max(1, -(-int(c) // most))) for b, c in zip(counts["band"], counts["count"], strict=True)], "band bigint, parts int"
     )
-    packed = durable(_packed(dealt, "block", width))
-    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "whole")
-    query_blocks = max(1, -(-rows // (QUERY_ROWS * every)))
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)))
-    named = packed.select("block").orderBy("block")
-    first = named.first()
-    if first is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-
-    def meet(asked: DataFrame, blocks_met: DataFrame) -> DataFrame:
-        """Every block of queries with each of the named blocks, as an equi-join on the block's number."""
-        numbers = F.lit([r["block"] for r in blocks_met.collect()]).cast("array<bigint>")
-        many = asked.withColumnRenamed("block", "q_block").withColumn("block", F.explode(numbers))
+    return banded.join(F.broadcast(parts), "band").withColumn("block", F.col("band") * (1 << 20) + F.pmod(F.xxhash64("row"), "parts")).drop("band", "parts")
+
+
+def _cuts(values: DataFrame, parts: int, rows: int) -> np.ndarray:
+    """Splitters of the values into so many parts, from a bounded draw by hash."""
+    drawn = min(1.0, 64.0 * parts / max(rows, 1))
+    chance = F.pmod(F.xxhash64("row"), F.lit(1 << 20)) / float(1 << 20)
+    sample = np.sort(values.where(chance < drawn).select("value").toPandas()["value"].to_numpy(np.float64))[::-1]
+    return np.unique(sample[(np.arange(1, parts) * len(sample)) // parts]) if len(sample) else np.empty(0)
+
+
+def _found(df: DataFrame, k: int, every: int, vec_id: str, vector: str, scale: int, scratch: Scratch) -> DataFrame:
+    """query_id, vec_id, score, wide: the k best of each query in each block that it went to."""
+    spark = df.sparkSession
+    vectors = scratch.keep(usable(df, vec_id, vector, scale).withColumn("square", F.aggregate("whole", F.lit(0.0), lambda a, x: a + x * x)))
+    is_query = F.pmod("vec_id", F.lit(every)) == 0
+    rows, asked, width = vectors.agg(F.count("*"), F.count(F.when(is_query, 1)), F.coalesce(F.max(F.size("whole")), F.lit(0))).first()
+    if not rows or not asked:
+        return spark.createDataFrame([], _RESULT)
+    width = max(width, 1)
+    blocks = -(-rows // BLOCK_ROWS)
+    turn = spark.sparkContext.broadcast(rotation(vectors, width))
+    cuts = _cuts(vectors.select("row", F.col("square").alias("value")), blocks, rows)
+    made = scratch.keep(_packed(_banded(vectors, "square", cuts, BLOCK_ROWS).select("row", "vec_id", "whole", "block"), width))
+    # Blocks are numbered by their longest vector; the list of these lengths has a number per block of BLOCK_ROWS vectors.
+    listed = made.select("block", "longest").toPandas().sort_values(["longest", "block"], ascending=[False, True], ignore_index=True)
+    order = spark.createDataFrame([(int(b), i) for i, b in enumerate(listed["block"])], "block bigint, place bigint")
+    packed = scratch.keep(made.join(F.broadcast(order), "block").drop("block", "longest"))
+    scratch.drop(made)
+    lengths = spark.sparkContext.broadcast(-listed["longest"].to_numpy(np.float64))
+    queries = vectors.where(is_query).select("row", "vec_id", "whole", "square")
+
+    @F.pandas_udf(T.LongType())
+    def reached(need: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(lengths.value, -need.to_numpy(), side="right"))
+
+    def meet(dealt: DataFrame, upto) -> DataFrame:
+        """Each block of queries with the first ``upto`` blocks of vectors, as an equi-join on the block's place."""
+        many = dealt.withColumn("upto", upto).where("upto > 0").withColumn("place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("upto") - 1)))
         return (
-            many.select("q_block", "block", F.col("ids").alias("q_ids"), F.col("whole").alias("q_whole"), F.col("floors").alias("q_floors"))
-            .join(packed, "block")
+            many.select("place", F.col("ids").alias("q_ids"), F.col("whole").alias("q_whole"), F.col("floors").alias("q_floors"))
+            .join(packed, "place")
             .mapInPandas(_scorer(turn, k), _RESULT)
         )
 
-    start = _packed(numbered.withColumn("floor", F.lit(float("-inf"))), "block", width, "floor")
-    seeds = meet(start, named.limit(1))
-    floor = (
-        seeds.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
-    )
-    known = numbered.join(floor.withColumnRenamed("query_id", "vec_id").drop("n"), "vec_id", "left").fillna(float("-inf"), ["floor"])
-    asked = durable(_packed(known, "block", width, "floor"))
-    found = meet(asked, named)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return (
-        found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+    parts = -(-asked // QUERY_ROWS)
+    start = queries.withColumn("floor", F.lit(float("-inf"))).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(parts)))
+    seeds = scratch.keep(meet(_packed(start, width, "floor"), F.lit(1).cast("bigint")))
+    # The k-th best of what the first block gave, over all rows of a query's id.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("wide")))
+    floor = seeds.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("wide").alias("floor"))
+    known = queries.join(floor, "vec_id", "left").fillna(float("-inf"), ["floor"])
+    need = F.when(F.col("floor") > 0, F.try_divide("floor", F.sqrt("square"))).otherwise(F.lit(0.0))
+    known = scratch.keep(known.withColumn("need", F.coalesce(need, F.lit(0.0))))
+    levels = _cuts(known.select("row", F.col("need").alias("value")), min(parts, NEED_LEVELS), asked)
+    dealt = scratch.keep(_packed(_banded(known, "need", levels, QUERY_ROWS).select("row", "vec_id", "whole", "floor", "block"), width, "floor"))
+    found = scratch.keep(meet(dealt, reached("need")))
+    scratch.drop(vectors, packed, seeds, known, dealt)
+    return found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
