@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.batches import map_batches
+from quillon.llm.batches import kept_names, map_batches
 from quillon.session import table
 
 # Fixed values of the format: field types (bytes each), tags and compression codes.
@@ -38,7 +38,6 @@ CLEAR, STOP, FIRST_FREE = 256, 257, 258
 
 #: A compressed byte stands for at most so many: LZW strings of the last code, a deflate match, a PackBits run.
 MOST_EXPANSION = {NONE: 1, LZW: 3840, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
-MOST_PAGES = 1_000_000
 
 
 class Damaged(ValueError):
@@ -268,7 +267,7 @@ class Reader:
 
     def directories(self) -> Iterator[dict[int, tuple] | Damaged]:
         at, seen = self.first, set()
-        while at and at not in seen and len(seen) < MOST_PAGES:
+        while at and at not in seen:
             seen.add(at)
             try:
                 if self.big:
@@ -383,10 +382,7 @@ def read_pages(data: bytes | None) -> Iterator[dict]:
         yield {"page": -1, "error": f"Damaged: {e}"}
 
 
-def write_gray(
-    rows: np.ndarray, compression: int = DEFLATE, predictor: int = 1, tile: int | None = None, strip_rows: int = 1024
-) -> bytes:
-    """A one-page file of 8-bit gray samples (height x width), in strips or in square tiles."""
+def _gray_blocks(rows: np.ndarray, compression: int, predictor: int, tile: int | None, strip_rows: int) -> list[bytes]:
     height, width = rows.shape
     if tile:
         tall, wide = -(-height // tile) * tile, -(-width // tile) * tile
@@ -408,26 +404,47 @@ def write_gray(
             stored.append(pack_packbits_block(block))
         else:
             stored.append(raw)
-    tags: dict[int, list[int]] = {
-        WIDTH: [width], HEIGHT: [height], BITS: [8], COMPRESSION: [compression], PHOTOMETRIC: [1], SAMPLES: [1], PREDICTOR: [predictor],
-    }
-    tags |= {TILE_WIDTH: [tile], TILE_HEIGHT: [tile]} if tile else {STRIP_ROWS: [strip_rows]}
-    at_tag, bytes_tag = (TILE_AT, TILE_BYTES) if tile else (STRIP_AT, STRIP_BYTES)
-    body = b"".join(stored)
-    ends = np.cumsum([len(s) for s in stored])
-    tags[at_tag], tags[bytes_tag] = (8 + ends - [len(s) for s in stored]).tolist(), [len(s) for s in stored]
-    pad = b"\0" * (len(body) % 2)
-    directory = 8 + len(body) + len(pad)
-    extra_at = directory + 2 + 12 * len(tags) + 4
-    fields, extra = [], b""
-    for tag, values in sorted(tags.items()):
-        packed = struct.pack(f"<{len(values)}I", *values)
-        if len(values) > 1:
-            fields.append(struct.pack("<HHII", tag, 4, len(values), extra_at + len(extra)))
-            extra += packed
-        else:
-            fields.append(struct.pack("<HHI", tag, 4, 1) + packed)
-    return b"".join([b"II*\0", struct.pack("<I", directory), body, pad, struct.pack("<H", len(tags)), *fields, b"\0\0\0\0", extra])
+    return stored
+
+
+def write_gray_pages(pages: list[tuple[np.ndarray, int, int, int | None]], strip_rows: int = 1024) -> bytes:
+    """A file of 8-bit gray pages, each (samples as height x width, compression, predictor, side of its square tiles or none)."""
+    out, size = [b"II*\0", b""], 8
+    links = []
+    for rows, compression, predictor, tile in pages:
+        stored = _gray_blocks(rows, compression, predictor, tile, strip_rows)
+        lengths = [len(s) for s in stored]
+        starts = (size + np.cumsum(lengths) - lengths).tolist()
+        tags: dict[int, list[int]] = {
+            WIDTH: [rows.shape[1]], HEIGHT: [rows.shape[0]], BITS: [8], COMPRESSION: [compression], PHOTOMETRIC: [1], SAMPLES: [1], PREDICTOR: [predictor],
+        }
+        tags |= {TILE_WIDTH: [tile], TILE_HEIGHT: [tile], TILE_AT: starts, TILE_BYTES: lengths} if tile else {STRIP_ROWS: [strip_rows], STRIP_AT: starts, STRIP_BYTES: lengths}
+        pad = b"\0" * (sum(lengths) % 2)
+        directory = size + sum(lengths) + len(pad)
+        extra_at = directory + 2 + 12 * len(tags) + 4
+        fields, extra = [], b""
+        for tag, values in sorted(tags.items()):
+            packed = struct.pack(f"<{len(values)}I", *values)
+            if len(values) > 1:
+                fields.append(struct.pack("<HHII", tag, 4, len(values), extra_at + len(extra)))
+                extra += packed
+            else:
+                fields.append(struct.pack("<HHI", tag, 4, 1) + packed)
+        links.append((len(out), directory))
+        out += [*stored, pad, struct.pack("<H", len(tags)), *fields, b"", extra]
+        size = extra_at + len(extra)
+    # What points to a directory comes before it: the file's head, or the directory before.
+    spots = [1, *((links[i + 1][0] if i + 1 < len(links) else len(out)) - 2 for i in range(len(links)))]
+    for spot, where in zip(spots, [*(d for _, d in links), 0], strict=True):
+        out[spot] = struct.pack("<I", where)
+    return b"".join(out)
+
+
+def write_gray(
+    rows: np.ndarray, compression: int = DEFLATE, predictor: int = 1, tile: int | None = None, strip_rows: int = 1024
+) -> bytes:
+    """A one-page file of 8-bit gray samples (height x width), in strips or in square tiles."""
+    return write_gray_pages([(rows, compression, predictor, tile)], strip_rows)
 
 
 _PAGE_FIELDS = {
@@ -443,7 +460,7 @@ OUT_BYTES = 8 << 20
 
 
 def tiff_pages(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per page of each file: the ``keep`` columns (under their own names), the page's fields and pixels."""
+    """One row per page of each file: the ``keep`` columns, the page's fields and pixels; a kept column named like a field gets ``input_`` before its name."""
     read = df.select(*(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), F.col(media).alias("media"))
     names = read.columns[:-1]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read.schema.fields[:-1])
@@ -463,7 +480,7 @@ def tiff_pages(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("do
                 yield _pages(batch, names, at, rows)
 
     pages = map_batches(read, work, f"{schema}, {_PAGE_SCHEMA}")
-    return pages.withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    return pages.toDF(*kept_names(keep, tuple(_PAGE_FIELDS)), *_PAGE_FIELDS)
 
 
 def _pages(batch: pa.RecordBatch, names: list[str], at: list[int], rows: list[dict]) -> pa.RecordBatch:
@@ -474,7 +491,9 @@ def _pages(batch: pa.RecordBatch, names: list[str], at: list[int], rows: list[di
 
 
 ROW_BYTES = 64
-#: How payloads are stored, by their checksum: compression, predictor and tile.
+#: Rows of samples on a page of a stored text.
+PAGE_ROWS = 256
+#: How pages are stored, by the payload's checksum and then in turn: compression, predictor and tile.
 STORED_AS = ((DEFLATE, 2, None), (LZW, 1, None), (PACKBITS, 1, 64), (LZW, 2, 64), (DEFLATE, 1, 64), (PACKBITS, 2, None))
 
 
@@ -484,16 +503,19 @@ def payload(text: str | None) -> bytes:
     return raw + b"\0" * (max(ROW_BYTES, -(-len(raw) // ROW_BYTES) * ROW_BYTES) - len(raw))
 
 
+def stored_text(text: str | None) -> bytes:
+    """The payload as a file of gray pages 64 samples wide and at most ``PAGE_ROWS`` high, each page stored in another way."""
+    whole = payload(text)
+    rows, first = np.frombuffer(whole, np.uint8).reshape(-1, ROW_BYTES), zlib.crc32(whole)
+    return write_gray_pages([(rows[at : at + PAGE_ROWS], *STORED_AS[(first + i) % len(STORED_AS)]) for i, at in enumerate(range(0, len(rows), PAGE_ROWS))])
+
+
 def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes (of the text alone) and media: each text as a one-page gray image 64 samples wide."""
+    """key, n_bytes (of the text alone) and media: each text as a file of pages."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            media = []
-            for t in batch.column(1).to_pylist():
-                whole = payload(t)
-                compression, predictor, tile = STORED_AS[zlib.crc32(whole) % len(STORED_AS)]
-                media.append(write_gray(np.frombuffer(whole, np.uint8).reshape(-1, ROW_BYTES), compression, predictor, tile))
+            media = [stored_text(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(media, pa.binary())], ["key", "n_bytes", "media"])
 
     read = df.select(
@@ -502,6 +524,52 @@ def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return map_batches(read, work, "key bigint, n_bytes bigint, media binary").withColumnRenamed("key", key)
 
 
+def whole_pixels(pages: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The ``keep`` columns, pages (their number), pixels of all pages one after another, and their feature: a row per file.
+
+    ``pages`` are tiff_pages' rows, narrowed at most: a file's pages stand one after another, page 0 first, so a task joins
+    what it reads and nothing is shuffled. A page in error adds no pixels; a file's last row says so by ``errors``.
+    """
+    read = pages.select("page", "error", "width", "pixels", *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
+    names = read.columns[4:]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read.schema.fields[4:])
+    kinds = "pages int, errors int, pixels binary, feature string"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parts, width, errors = None, [], 0, 0
+
+        def done() -> pa.RecordBatch:
+            pixels = b"".join(parts)
+            feature = gray_feature(pixels, width) if pixels and width and len(pixels) % width == 0 else None
+            rest = [pa.array([len(parts)], pa.int32()), pa.array([errors], pa.int32()), pa.array([pixels], pa.binary()), pa.array([feature], pa.string())]
+            return pa.RecordBatch.from_arrays([*own, *rest], [*names, "pages", "errors", "pixels", "feature"])
+
+        ready, size = [], 0
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            for i, (page, error, wide, pixels) in enumerate(rows):
+                if page <= 0:
+                    if own is not None:
+                        ready.append(done())
+                        size += ready[-1].nbytes
+                        if size > OUT_BYTES:
+                            yield _one_batch(ready)
+                            ready, size = [], 0
+                    own, parts, width, errors = [batch.column(4 + c).slice(i, 1) for c in range(len(names))], [], wide or 0, 0
+                errors += error is not None
+                parts.append(pixels or b"")
+        if own is not None:
+            ready.append(done())
+        if ready:
+            yield _one_batch(ready)
+
+    return map_batches(read, work, f"{schema}, {kinds}").toDF(*kept_names(keep, ("pages", "errors", "pixels", "feature")), "pages", "errors", "pixels", "feature")
+
+
+def _one_batch(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def gray_feature(pixels: bytes, width: int) -> str:
     """Mean, spread and a difference hash over an 8 x 9 grid of block means."""
     x = np.frombuffer(pixels, np.uint8).reshape(-1, width)
@@ -518,8 +586,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_texts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media"
     )
-    pages = tiff_pages(stored, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
-    return pages.select(
+    keep = ("doc_id", "n_bytes", "media_bytes", "media_sha256")
+    return whole_pixels(tiff_pages(stored, keep=keep), keep).select(
         "doc_id",
         "n_bytes",
         F.octet_length("pixels").cast("bigint").alias("payload_bytes"),
@@ -528,4 +596,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_bytes",
         "media_sha256",
         "feature",
+        "pages",
     )

@@ -136,3 +136,56 @@ def test_null_and_foreign_media_and_empty_table(spark):
     rows = tiff.tiff_pages(df).collect()
     assert len(rows) == 3 and all(r.page == -1 and r.error and r.pixels is None for r in rows)
     assert tiff.tiff_pages(df.limit(0)).count() == 0
+
+
+def test_files_of_many_pages(spark):
+    """A file of each number of pages up to 14, its pages stored in all ways, read as a row per page and joined again."""
+    rng = np.random.default_rng(8)
+    texts = [None, ""] + ["".join(map(chr, rng.integers(32, 800, n))) for n in (10, 9000, 40_000, 200_000)] + ["run " * 30_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[4]), (5, texts[5])], "doc_id long, text string").repartition(2)
+    pages = tiff.tiff_pages(tiff.store_texts(df))
+    rows = pages.collect()
+    by_file = {}
+    for r in rows:
+        assert r.error is None and r.width == 64 and r.height <= tiff.PAGE_ROWS
+        if r.doc_id is not None and r.doc_id != 5:
+            by_file.setdefault(r.doc_id, {})[r.page] = bytes(r.pixels)
+    for i, own in by_file.items():
+        assert sorted(own) == list(range(len(own))) and b"".join(own[p] for p in sorted(own)) == tiff.payload(texts[i])
+    assert max(r.page for r in rows) >= 14 and len({(r.compression, r.predictor, r.tiled) for r in rows}) == len(tiff.STORED_AS)
+    whole = tiff.whole_pixels(pages, ("doc_id",)).collect()
+    assert len(whole) == len(texts) + 2
+    for r in whole:
+        want = tiff.payload(texts[4 if r.doc_id is None else r.doc_id])
+        assert bytes(r.pixels) == want and r.errors == 0 and r.feature == tiff.gray_feature(want, 64)
+
+
+def test_bytes_written_by_hand():
+    """A file of three pages put together here, byte by byte, without the writer: strips, raw, PackBits and LZW."""
+    import struct
+
+    strips = [b"ABCDEF", bytes([254, 65, 2, 66, 67, 68]), None]  # AAA BCD as PackBits
+    bits = "".join(format(c, "09b") for c in (256, 65, 258, 66, 67, 68, 257))  # A, AA, B, C, D by LZW
+    bits += "0" * (-len(bits) % 8)
+    strips[2] = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+    body, directories, at = b"", [], 8
+    for strip in strips:
+        directories.append((at, len(strip)))
+        body += strip
+        at += len(strip)
+    parts, where = [], at
+    for i, (code, (start, size)) in enumerate(zip((1, 32773, 5), directories)):
+        fields = [(256, 3), (257, 2), (258, 8), (259, code), (262, 1), (273, start), (277, 1), (278, 2), (279, size)]
+        after = where + 2 + 12 * len(fields) + 4
+        parts.append(struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in fields) + struct.pack("<I", after if i < 2 else 0))
+        where = after
+    got = list(tiff.read_pages(b"II*\0" + struct.pack("<I", at) + body + b"".join(parts)))
+    assert [(p["page"], p["error"], p["pixels"]) for p in got] == [(0, None, b"ABCDEF"), (1, None, b"AAABCD"), (2, None, b"AAABCD")]
+
+
+def test_a_damaged_file_still_gives_its_row(spark):
+    good = tiff.stored_text("a text " * 9000)
+    files = [(1, good), (2, None), (3, b"II*"), (4, good[: len(good) // 2]), (5, good)]
+    whole = tiff.whole_pixels(tiff.tiff_pages(spark.createDataFrame(files, "doc_id long, media binary")), ("doc_id",)).collect()
+    assert sorted(r.doc_id for r in whole) == [1, 2, 3, 4, 5]
+    assert [r.errors > 0 for r in sorted(whole, key=lambda r: r.doc_id)] == [False, True, True, True, False]
