@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import word_bpe
 from quillon.llm.batches import map_batches
-from quillon.llm.worker import claim
+from quillon.llm.worker import LONGEST_KEPT, claim, entry_bytes
 from quillon.session import table
 
 _CODECS: dict[str, "Codec"] = {}
@@ -85,46 +85,73 @@ def _note(where, active, merges, pair, position) -> None:
 
 
 class Codec:
-    """Ids (little-endian unsigned 32-bit) and decoded bytes of the pieces met so far."""
+    """Ids (little-endian unsigned 32-bit) and decoded bytes of the pieces met so far.
+
+    Pieces and words are forgotten when they take more than ``word_bpe.CACHE_BYTES``; long ones go after their batch.
+    """
 
     def __init__(self, bpe: word_bpe.WordBpe):
         self.bpe = bpe
         self.words: dict[str, list[int]] = {}
         self.ids: dict[str, bytes] = {}
         self.said: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.held = 0
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(map(self.bpe.strings.__getitem__, ids))
 
+    def forget(self) -> None:
+        for kept in (self.words, self.ids, self.said, self.long):
+            kept.clear()
+        self.held = 0
+
+    def _weigh(self, key: str, more: int) -> None:
+        if len(key) > LONGEST_KEPT:
+            self.long.append(key)
+        else:
+            self.held += entry_bytes(key) + more
+
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode the pieces that are not yet known, all their new words at once."""
-        if len(self.ids) > word_bpe.CACHE_ENTRIES:
-            self.ids.clear()
-            self.said.clear()
-        if len(self.words) > word_bpe.CACHE_ENTRIES:
-            self.words.clear()
+        if self.held > word_bpe.CACHE_BYTES:
+            self.forget()
         cut = {p: self.bpe.words(p) for p in pieces if p not in self.ids}
         new = list({w for words in cut.values() for w in words if w not in self.words})
         for w in new:
             if w in self.bpe.special:
                 self.words[w] = [self.bpe.special[w]]
         new = [w for w in new if w not in self.words]
-        self.words.update(zip(new, merge_all([self.bpe.symbols(w) for w in new], self.bpe.merges), strict=True))
+        for w, ids in zip(new, merge_all([self.bpe.symbols(w) for w in new], self.bpe.merges), strict=True):
+            self.words[w] = ids
+            self._weigh(w, 56 + 8 * len(ids))
         for piece, words in cut.items():
             ids = [i for w in words for i in self.words[w]]
             self.ids[piece] = struct.pack(f"<{len(ids)}I", *ids)
-            self.said[piece] = self.decode(ids).encode()
+            said = self.said[piece] = self.decode(ids).encode()
+            self._weigh(piece, 150 + len(self.ids[piece]) + len(said))
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         cut = [t.split(" ") for t in texts]
         self.learn({p for pieces in cut for p in pieces})
         ids, said = self.ids.__getitem__, self.said.__getitem__
-        return [(b"".join(map(ids, pieces)), b" ".join(filter(None, map(said, pieces)))) for pieces in cut]
+        out = [(b"".join(map(ids, pieces)), b" ".join(filter(None, map(said, pieces)))) for pieces in cut]
+        for key in self.long:
+            for kept in (self.words, self.ids, self.said):
+                kept.pop(key, None)
+        self.long.clear()
+        return out
+
+
+def _forget() -> None:
+    for codec in _CODECS.values():
+        codec.forget()
+    _CODECS.clear()
 
 
 def codec_of(path: str) -> Codec:
     """One codec per Python worker: workers import this module, so what it holds outlives a task."""
-    claim("bpe_codec", _CODECS.clear)
+    claim("bpe_codec", _forget)
     if path not in _CODECS:
         _CODECS[path] = Codec(word_bpe.load(path))
     return _CODECS[path]

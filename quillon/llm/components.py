@@ -12,12 +12,11 @@ def _flatten(scratch: Scratch, parents: DataFrame) -> DataFrame:
     """node -> root from node -> smaller parent (a root is its own parent), by doubling."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-        after = scratch.keep(
-            parents.join(up, "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"), (F.col("next") < F.col("parent")).alias("moved"))
-        )
+        jumped = parents.join(up, "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"), (F.col("next") < F.col("parent")).alias("moved"))
+        after, moved = scratch.keep_counted(jumped, F.col("moved"))
         scratch.drop(parents)
         parents = after
-        if not parents.where("moved").limit(1).count():
+        if not moved:
             return parents
 
 
@@ -28,9 +27,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     inside a component go. A component that neither hooks nor is hooked to lost its neighbours to smaller ones, so it hooks
     in the next round: two rounds leave at most half of the components that have links. Nothing is gathered on the driver.
     """
-    edges = scratch.keep(links.where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    edges, left = scratch.keep_counted(links.where(F.col("a") != F.col("b")).select("a", "b").distinct(), F.lit(True))
     roots = None
-    while edges.limit(1).count():
+    while left:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("b"))
         hooked = _flatten(scratch, scratch.keep(least.select(F.col("a").alias("node"), F.least("a", "b").alias("parent"))))
@@ -42,15 +41,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             scratch.drop(roots)
         roots = after
         to = lambda c: hooked.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_root"))
-        left = scratch.keep(
+        between = (
             edges.join(to("a"), "a")
             .join(to("b"), "b")
             .where(F.col("a_root") != F.col("b_root"))
             .select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
             .distinct()
         )
+        after, left = scratch.keep_counted(between, F.lit(True))
         scratch.drop(edges, hooked)
-        edges = left
+        edges = after
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.select("node", F.col("parent").alias("root"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.batches import map_batches
-from quillon.llm.worker import claim
+from quillon.llm.worker import LONGEST_KEPT, claim, entry_bytes
 from quillon.session import table
 
 TIERS = (1024, 512, 256, 128)
@@ -44,7 +44,11 @@ BLOCK_TOKENS = 2_000_000
 #: Tokens of a step group.
 STEP_TOKENS = 16_384
 END = (0).to_bytes(4, "little")
-CACHE_ENTRIES = 800_000
+#: Bytes of pieces and their ids that a Python worker keeps.
+CACHE_BYTES = 128 << 20
+#: Characters of texts, and pieces, that are encoded at a time: the library's own results are many times larger.
+ENCODE_CHARACTERS = 1 << 20
+ASK_PIECES = 4096
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint,"
@@ -67,7 +71,10 @@ def default_path() -> str:
 
 
 class PieceIds:
-    """Ids (little-endian unsigned 32-bit) of the pieces of texts, by a byte-level tokenizer file of the library."""
+    """Ids (little-endian unsigned 32-bit) of the pieces of texts, by a byte-level tokenizer file of the library.
+
+    Pieces are forgotten, all together, when they take more than ``CACHE_BYTES``; long ones are never kept beyond their batch.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,17 +84,31 @@ class PieceIds:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.long: list[tuple[dict[str, bytes], str]] = []
+        self.held = 0
+
+    def forget(self) -> None:
+        for kept in (self.first, self.later, self.bare):
+            kept.clear()
+        self.long.clear()
+        self.held = 0
+
+    def _keep(self, kept: dict[str, bytes], piece: str, ids: bytes) -> None:
+        kept[piece] = ids
+        if len(piece) > LONGEST_KEPT:
+            self.long.append((kept, piece))
+        else:
+            self.held += entry_bytes(piece) + len(ids)
 
     def _ask(self, kept: dict[str, bytes], lead: str, new: list[str]) -> None:
-        got = self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)
-        kept.update((p, array("I", x.ids).tobytes()) for p, x in zip(new, got, strict=True))
+        for at in range(0, len(new), ASK_PIECES):
+            part = new[at : at + ASK_PIECES]
+            got = self.tokenizer.encode_batch_fast([lead + p for p in part], add_special_tokens=False)
+            for p, x in zip(part, got, strict=True):
+                self._keep(kept, p, array("I", x.ids).tobytes())
 
     def _learn(self, kept: dict[str, bytes], lead: str, pieces: set[str]) -> None:
         """Only the first part of a plain piece has the space before it."""
-        if len(kept) > CACHE_ENTRIES:
-            kept.clear()
-        if len(self.bare) > CACHE_ENTRIES:
-            self.bare.clear()
         whole, parted, bare = set(), [], set()
         for p in pieces.difference(kept):
             if _PLAIN.fullmatch(p) and _SPECIAL not in p and len(parts := _PART.findall(p)) > 1:
@@ -98,9 +119,23 @@ class PieceIds:
                 whole.add(p)
         self._ask(kept, lead, list(whole.difference(kept)))
         self._ask(self.bare, "", list(bare.difference(self.bare)))
-        kept.update((p, kept[parts[0]] + b"".join([self.bare[x] for x in parts[1:]])) for p, parts in parted)
+        for p, parts in parted:
+            self._keep(kept, p, kept[parts[0]] + b"".join([self.bare[x] for x in parts[1:]]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= ENCODE_CHARACTERS):
+                size += len(texts[end])
+                end += 1
+            out += self._encode(texts[at:end])
+            at = end
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if self.held > CACHE_BYTES:
+            self.forget()
         cut = [_INNER_SPACE.split(t) if _TWO_SPACES.search(t) else t.split(" ") for t in texts]
         first = [x[0] for x in cut]
         for x in cut:
@@ -108,7 +143,11 @@ class PieceIds:
         self._learn(self.first, "", set(first))
         self._learn(self.later, " ", set(chain.from_iterable(cut)))
         later = self.later.__getitem__
-        return [self.first[f] + b"".join(map(later, x)) for f, x in zip(first, cut, strict=True)]
+        ids = [self.first[f] + b"".join(map(later, x)) for f, x in zip(first, cut, strict=True)]
+        for kept, piece in self.long:
+            kept.pop(piece, None)
+        self.long.clear()
+        return ids
 
 
 @dataclass(slots=True)
@@ -244,9 +283,15 @@ class Packer:
 _ENCODERS: dict[str, PieceIds] = {}
 
 
+def _forget() -> None:
+    for encoder in _ENCODERS.values():
+        encoder.forget()
+    _ENCODERS.clear()
+
+
 def encoder_of(path: str) -> PieceIds:
     """One encoder per Python worker: workers import this module, so what it holds outlives a task."""
-    claim("packing", _ENCODERS.clear)
+    claim("packing", _forget)
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceIds(path)
     return _ENCODERS[path]

@@ -12,7 +12,8 @@ vocabulary-sized sums; what is broadcast is bounded by the vocabulary.
 Scores read the text alone. Defined cases: a null or empty text has zero vectors and gets the score of those; a null id is
 held out; repeated labels of an id count as their mean, rounded up at one half; null labels are ignored; without
 two classes in the sample every score is the smoothed share of label 1; an empty table gives an empty result; other
-columns are ignored. Texts of any length are read whole.
+columns are ignored. Texts and words of any length are read whole; a word of more than ``LONGEST_WORD`` characters goes by
+its checksum and length.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.batches import map_batches
-from quillon.llm.worker import claim
-from quillon.session import durable, table
+from quillon.llm.batches import kept_names, map_batches
+from quillon.llm.worker import LONGEST_KEPT, claim, entry_bytes
+from quillon.session import durable, table, tidy
 
 FIT_ROWS = 6_000
 FIT_PARTS = 4
@@ -42,9 +43,11 @@ BATCH = 256
 RATE = 2e-3
 DECAY = 1e-2
 THRESHOLD = 0.3
+#: Longer words and shapes are named by their checksum, longer shapes by their kinds.
 LONGEST_WORD = 40
 LONGEST_SHAPE = 12
-CACHE_ENTRIES = 400_000
+#: Bytes of words that a Python worker keeps.
+CACHE_BYTES = 48 << 20
 SCALARS = 3
 #: The few scalars would drown among the many coordinates of the vectors.
 SCALAR_GAIN = 3.0
@@ -56,16 +59,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def token(word: str) -> str:
+    """The word itself, or, if it is long, a name of fixed length for it."""
+    return word if len(word) <= LONGEST_WORD else f"\n#{zlib.crc32(word.encode('utf-8', 'replace')):08x}{len(word)}"
+
+
 def shape(word: str) -> str:
-    """Letters as a or A, digits as 0, other characters as they are, runs of one kind collapsed; marked as a shape."""
+    """Letters as a or A, digits as 0, other characters as they are, runs of one kind collapsed; marked as a shape.
+
+    The whole word is read. A shape of many runs is named by its kinds and the size of their number.
+    """
     out = []
-    for c in word[: 4 * LONGEST_WORD]:
+    for c in word:
         kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else c
         if not out or out[-1] != kind:
             out.append(kind)
-            if len(out) == LONGEST_SHAPE:
-                break
-    return "\n" + "".join(out)
+    if len(out) <= LONGEST_SHAPE:
+        return "\n" + "".join(out)
+    return token("\n*" + "".join(sorted(set(out))) + str(len(out).bit_length()))
 
 
 def index_vectors(tokens: list[str]) -> np.ndarray:
@@ -87,14 +98,22 @@ class TokenIds(dict):
     def __init__(self, tokens: list[str]):
         super().__init__()
         self.number = {t: i + 1 for i, t in enumerate(tokens)}
+        self.held = 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        own = self.number.get(word) or OUTSIDE + zlib.crc32(word.encode("utf-8", "replace"))
-        both = self[word] = own << 20 | self.number.get(shape(word), 0)
+        own = self.number.get(token(word)) or OUTSIDE + zlib.crc32(word.encode("utf-8", "replace"))
+        both = own << 20 | self.number.get(shape(word), 0)
+        if len(word) <= LONGEST_KEPT:
+            self.held += entry_bytes(word) + 32
+            if self.held > CACHE_BYTES:
+                self.forget()
+            self[word] = both
         return both
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = text.split() if text else []
         both = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -198,7 +217,7 @@ def _vocabulary(sample: DataFrame) -> list[str]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = set((text or "").split())
-                seen.update(w for w in words if len(w) <= LONGEST_WORD)
+                seen.update({token(w) for w in words})
                 seen.update({shape(w) for w in words})
         items = list(seen.items())
         for at in range(0, len(items), 20_000):
@@ -241,18 +260,25 @@ def _context(sample: DataFrame, tokens: list[str], own: np.ndarray) -> np.ndarra
     # Few tasks, each with one vocabulary-sized sum, whatever the number of partitions of the sample.
     for row in map_batches(sample.select("text").coalesce(FIT_PARTS), work, "sums binary").collect():
         total += np.frombuffer(bytes(row.sums), "<f4").reshape(total.shape)
+    sent.destroy()
     return total
 
 
 _IDS: dict[int, TokenIds] = {}
 
 
+def _forget() -> None:
+    for ids in _IDS.values():
+        ids.forget()
+    _IDS.clear()
+
+
 def ids_of(tokens: list[str]) -> TokenIds:
     """The table of the vocabulary in use, one per Python worker, which outlives a task."""
-    claim("quality", _IDS.clear)
+    claim("quality", _forget)
     mark = hash(tuple(tokens))
     if mark not in _IDS:
-        _IDS.clear()
+        _forget()
         _IDS[mark] = TokenIds(tokens)
     return _IDS[mark]
 
@@ -281,6 +307,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             )
 
     got = map_batches(sample.select("number", "label", "text"), work, "number bigint, label int, x binary").collect()
+    sent.destroy()
+    tidy(sample.sparkSession)
     got.sort(key=lambda r: r.number)
     y = np.array([r.label for r in got], np.float64)
     model.prior = float((y.sum() + 1) / (len(y) + 2))
@@ -299,9 +327,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     return model
 
 
-
 def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The ``keep`` columns and the probability of label 1 as ``score``."""
+    """The ``keep`` columns and the probability of label 1 as ``score``; a kept ``score`` comes out as ``input_score``."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
     read = documents.select(*(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), F.col(text).alias("text"))
     names = read.columns[:-1]
@@ -315,7 +342,7 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
             p = sent.value.probability(features(sent.value, batch.column(len(names)).to_pylist(), ids))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p, pa.float64())], [*names, "score"])
 
-    return map_batches(read, work, f"{schema}, score double").withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    return map_batches(read, work, f"{schema}, score double").toDF(*kept_names(keep, ("score",)), "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.arrays import prefix_sums
+from quillon.llm.batches import kept_names
 from quillon.session import table
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -186,12 +187,13 @@ def scan(
 ) -> DataFrame:
     """The ``keep`` columns and ``base`` and ``found``: arrays of (start, kind_no, end) by start, then kind.
 
-    ``base`` has the fixed patterns' spans, ``found`` these and the battery's; ``kind_no`` counts KINDS from 0.
+    ``base`` has the fixed patterns' spans, ``found`` these and the battery's; ``kind_no`` counts KINDS from 0. Kept columns of
+    these two names come out with ``input_`` before them.
     """
-    whole = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     body = F.col("_text")
+    whole = df.select(F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep))).alias("_kept"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     raw = whole.select(
-        *keep,
+        "_kept",
         F.filter(_found(body, ASSIGN, 2), lambda x: F.length(x["value"]) >= 12).alias("_assign"),
         _found(body, ACCESS).alias("_access"),
         _found(body, HEX).alias("_hex"),
@@ -229,7 +231,10 @@ def scan(
     based = limited.withColumn(
         "base", F.array_sort(F.concat(kind(0, F.col("_assign")), kind(1, F.col("_access")), kind(2, F.col("_hex"))))
     ).withColumn("_random", kind(3, F.transform(chosen, lambda x: x["run"])))
-    return based.select(*keep, "base", F.array_sort(F.concat("base", "_random")).alias("found"))
+    names = kept_names(keep, ("base", "found"))
+    return based.select(
+        *(F.col(f"_kept.k{i}").alias(n) for i, n in enumerate(names)), "base", F.array_sort(F.concat("base", "_random")).alias("found")
+    )
 
 
 def written(spans: Column) -> Column:

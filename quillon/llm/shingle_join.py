@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from quillon.llm.batches import map_batches
 from quillon.llm.components import components
 from quillon.llm.worker import LONGEST_KEPT, claim, entry_bytes
-from quillon.session import Scratch, table
+from quillon.session import Scratch, table, tidy
 
 WORDS, PERCENT = 5, 80
 QUERY_WORDS, QUERY_PERCENT = 3, 90
@@ -307,7 +307,9 @@ def class_links(read: DataFrame, wanted: DataFrame, words: int, percent: int, sc
     star = scratch.keep(to_own.unionByName(to_hub).where("a <> b").distinct())
     first_links = scratch.keep(_verified(star, sets, percent))
     scratch.drop(hubs, near, first_of, star)
+    tidy(scratch.spark)
     roots = components(first_links, scratch)
+    tidy(scratch.spark)
 
     # Groups are split by the component of their members, under numbers of their own.
     known = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))

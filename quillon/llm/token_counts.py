@@ -2,7 +2,7 @@
 
 Which words encode alone as one token is proved once, on the driver, by doing the merges of every vocabulary string; the
 set (bounded by the vocabulary) goes to the workers. A pre-token in the set counts one; only the rest is merged. Counts
-of space-separated pieces are kept per worker, up to a fixed number of entries.
+of space-separated pieces are kept per worker, up to a fixed number of bytes.
 
 Defined cases: a null text counts as empty (no tokens); special strings inside a text count as one token each; repeated
 rows and null or repeated ids give a row each; an empty table gives an empty result; other columns are ignored. Texts of
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import word_bpe
 from quillon.llm.batches import map_batches
-from quillon.llm.worker import claim
+from quillon.llm.worker import LONGEST_KEPT, claim, entry_bytes
 from quillon.session import table
 
 LIMIT_TOKENS = 2048
@@ -28,32 +28,49 @@ _COUNTERS: dict[str, "PieceCounts"] = {}
 
 
 class PieceCounts(dict):
-    """Tokens of a piece; a piece that is not yet known is cut into words, and words not in ``whole`` are merged."""
+    """Tokens of a piece; a piece that is not yet known is cut into words, and words not in ``whole`` are merged.
+
+    Pieces and words are forgotten when they take more than ``word_bpe.CACHE_BYTES``; long ones are never kept.
+    """
 
     def __init__(self, bpe: word_bpe.WordBpe, whole: frozenset[str]):
         super().__init__()
-        self.bpe, self.whole, self.words = bpe, whole, {}
+        self.bpe, self.whole, self.words, self.held = bpe, whole, {}, 0
+
+    def _keep(self, kept: dict[str, int], key: str, n: int) -> int:
+        if len(key) <= LONGEST_KEPT:
+            self.held += entry_bytes(key)
+            kept[key] = n
+        return n
 
     def word(self, word: str) -> int:
         if word in self.whole or word in self.bpe.special:
             return 1
         if (n := self.words.get(word)) is None:
-            n = self.words[word] = len(self.bpe.merged(self.bpe.symbols(word)))
+            n = self._keep(self.words, word, len(self.bpe.merged(self.bpe.symbols(word))))
         return n
 
     def __missing__(self, piece: str) -> int:
-        n = self[piece] = sum(map(self.word, self.bpe.words(piece)))
-        return n
+        n = sum(map(self.word, self.bpe.words(piece)))
+        if self.held > word_bpe.CACHE_BYTES:
+            self.forget()
+        return self._keep(self, piece, n)
 
     def forget(self) -> None:
-        for kept in (self, self.words):
-            if len(kept) > word_bpe.CACHE_ENTRIES:
-                kept.clear()
+        self.clear()
+        self.words.clear()
+        self.held = 0
+
+
+def _forget() -> None:
+    for counts in _COUNTERS.values():
+        counts.forget()
+    _COUNTERS.clear()
 
 
 def counts_of(path: str, whole: frozenset[str]) -> PieceCounts:
     """One table per Python worker: workers import this module, so what it holds outlives a task."""
-    claim("token_counts", _COUNTERS.clear)
+    claim("token_counts", _forget)
     if path not in _COUNTERS:
         _COUNTERS[path] = PieceCounts(word_bpe.load(path), whole)
     return _COUNTERS[path]
@@ -68,7 +85,6 @@ def count_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path
         counts = counts_of(path, whole.value)
         for batch in batches:
             n = [sum(map(counts.__getitem__, t.split(" "))) if t else 0 for t in batch.column(1).to_pylist()]
-            counts.forget()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     read = df.select(

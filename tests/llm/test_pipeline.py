@@ -51,3 +51,34 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+CLASHING = ["score", "found", "base", "_text", "_text_hash", "Text", "_kept", "hash", "clean", "changed", "c0", "n", "cid", "text_hash", "row"]
+
+
+def test_each_stage_carries_columns_of_any_name(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, and names that the stages use themselves."""
+    rows, labels = corpus(120)
+    docs = [(i, t, "en", "s", len(t)) for i, t, *_ in rows]
+    docs += [(None, None, None, None, None), (None, None, None, None, None), (500, "", None, "s", 0), (501, "password=b7db7aa4a5fcc78305 " + "word " * 20_000, "en", None, 100_028)]
+    docs += [(None, "some text without any id", "en", "s", 24)] * 2 + [docs[3]]
+    more = [f"x{i}" for i in range(len(CLASHING))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    df = spark.createDataFrame([(*d, *more) for d in docs], schema)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    plain = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, df, str(tmp_path))
+        assert got.columns == df.columns, name
+        got = [tuple(r) for r in got.collect()]
+        assert {r[5:] for r in got} == {tuple(more)}, name
+        want = [tuple(r) for r in stage(spark, plain, str(tmp_path)).collect()]
+        assert sorted((r[:5] for r in got), key=repr) == sorted(want, key=repr), name
+        if name == "near_duplicates":
+            assert sum(r[0] is None and r[1] is None for r in got) == 1 and sum(r[1] == "" for r in got) == 1
+        if name == "secrets":
+            assert len(got) == len(docs) and [r for r in got if r[0] == 501][0][1].startswith("[SECRET] word") and [r for r in got if r[0] == 501][0][4] == 100_009
+    pieces = corpus_pipeline.packing_stage(spark, df, str(tmp_path)).collect()
+    assert sum(r.length for r in pieces if r.doc_id is None) == sum(r.doc_tokens for r in pieces if r.doc_id is None and r.start == 0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, plain.limit(0), str(tmp_path)).count() == 0

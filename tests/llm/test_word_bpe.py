@@ -73,7 +73,7 @@ def test_whole_tokens_are_proved_not_assumed(library):
 
 
 def test_forgetting_changes_nothing(monkeypatch, library):
-    monkeypatch.setattr(word_bpe, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(word_bpe, "CACHE_BYTES", 600)
     codec = bpe_codec.Codec(word_bpe.load(word_bpe.default_path()))
     for text in ["one two three four five", "six seven one two", "three nine ten"]:
         (ids, _), = codec.encode_batch([text])
