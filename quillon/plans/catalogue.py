@@ -24,7 +24,7 @@ def register(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the modules that enter queries."""
-    from quillon.plans import etl, evalstats, facts, prompts, scalars, scoring, textpairs, timeseries, vectors  # noqa: F401
+    from quillon.plans import etl, evalstats, facts, reports, requests, scalars, scoring, textpairs, timeseries, vectors  # noqa: F401
 
 
 load()
