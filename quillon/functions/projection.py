@@ -1,41 +1,80 @@
-"""Hashed projection of a text to a fixed number of signed buckets, normalised."""
+"""Hashed projection of a text to a fixed number of signed buckets, normalised.
+
+Each of the first 256 words adds to three buckets at weights 1, 0.75 and 0.5, and with the word before it to one at 0.35; its
+hash depends on its place.
+"""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.functions.scoring import _TOKEN, fnv64
+DIMENSIONS, MOST_WORDS = 384, 256
+# Weight, salt of the bucket and salt of the sign.
+WORD_PARTS = ((1.0, 0x11, 0x44), (0.75, 0x22, 0x55), (0.5, 0x33, 0x66))
+PAIR_PART = (0.35, 0x77, 0x88)
+WORD_MARK = 0x9E3779B97F4A7C15
+_WORD = re.compile(rb"[A-Za-z0-9_\x80-\xff]+")
+_MASK = (1 << 64) - 1
+
+
+def words(text: str | bytes | None) -> list[bytes]:
+    raw = text if isinstance(text, bytes) else (text or "").encode()
+    return [w.lower() for w in _WORD.findall(raw)][:MOST_WORDS]
+
+
+def equal_words(a: str | bytes | None, b: str | bytes | None) -> bool:
+    """Whether two texts have the same words, whatever the case and what stands between them."""
+    return words(a) == words(b)
 
-DIMENSIONS = 384
-BUCKETS = 3
-_M64 = (1 << 64) - 1
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _spread(x: int) -> int:
-    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _M64
-    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _M64
-    return x ^ (x >> 31)
 
+def word_hashes(found: list[bytes]) -> np.ndarray:
+    """64-bit FNV-1a of each word, marked so that none is 0 for the empty word; letter by letter over all words at once."""
+    longest = max(map(len, found), default=0)
+    h = np.full(len(found), 0xCBF29CE484222325, np.uint64)
+    if longest:
+        lengths = np.array([len(w) for w in found])
+        for at in range(longest):
+            live = np.flatnonzero(lengths > at)
+            h[live] = (h[live] ^ np.array([found[i][at] for i in live], np.uint64)) * np.uint64(0x100000001B3)
+    return h ^ np.uint64(WORD_MARK)
 
-def project(text: str) -> np.ndarray:
-    """Each token, and each pair of neighbours at half weight, adds its sign to a few buckets."""
-    out = np.zeros(DIMENSIONS)
-    words = [fnv64(m.lower()) for m in _TOKEN.findall(text.encode())]
-    features = [(w, 1.0) for w in words] + [(_spread(a ^ (b << 1 & _M64)), 0.5) for a, b in zip(words, words[1:])]
-    for feature, weight in features:
-        for k in range(BUCKETS):
-            h = _spread(feature + k * 0x9E3779B97F4A7C15 & _M64)
-            out[h % DIMENSIONS] += weight if h >> 63 else -weight
+
+def _add(out: np.ndarray, hashes: np.ndarray, weight: float, bucket: int, sign: int) -> None:
+    at = (_mixed(hashes ^ np.uint64(bucket)) % np.uint64(DIMENSIONS)).astype(np.int64)
+    np.add.at(out, at, np.where(_mixed(hashes ^ np.uint64(sign)) & np.uint64(1), -weight, weight))
+
+
+def project(text: str | bytes | None) -> np.ndarray:
+    out, h = np.zeros(DIMENSIONS), word_hashes(words(text))
+    placed = _mixed(h ^ (np.arange(len(h), dtype=np.uint64) << np.uint64(32)))
+    for part in WORD_PARTS:
+        _add(out, placed, *part)
+    turned = (h[:-1] << np.uint64(17)) | (h[:-1] >> np.uint64(47))
+    _add(out, _mixed(turned ^ h[1:]), *PAIR_PART)
     length = np.linalg.norm(out)
-    return out / length if length > 1e-12 else out
+    return out / length if length > 1e-12 else np.zeros(DIMENSIONS)
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two projections; below zero counts as zero."""
+    return float(min(1.0, max(0.0, a @ b)))
 
 
 def projection(text: Column) -> Column:
     @F.pandas_udf("array<double>")
     def work(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: project(t or ""))
+        known = {t: project(t) for t in set(s)}
+        return s.map(known.__getitem__)
 
     return work(text)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions import facts, projection
 from quillon.functions.tables import AXES, NEGATORS, NUMERALS, SCALES, STOPWORDS
 
 _WORD = rb"[A-Za-z0-9\x80-\xff]"
@@ -24,6 +26,7 @@ _RUNS = re.compile(rb"[^A-Za-z0-9\x80-\xff]+")
 MOST_TOKENS = 2048
 MOST_GRAM_BYTES = 65_536
 REACH = 4
+MOST_TERMS, K1, B = 256, 1.5, 0.75
 
 _STOP = frozenset(w.encode() for w in STOPWORDS)
 _NEG = frozenset(w.encode() for w in NEGATORS)
@@ -263,36 +266,116 @@ def tie_slot(unquantized: float, key: int, lane: str = "check") -> float:
     return (start + _mix(key ^ seed) % min(width, 1_000_000 - start)) / 1e6
 
 
+def composite(question: bytes, truth: bytes, answer: bytes, lane: str = "check") -> float:
+    """The blend and the typed adjustment, from 0 to 1; nothing for an empty answer."""
+    if not answer.strip():
+        return 0.0
+    return _clamp(raw_score(question, truth, answer) + facts.adjustment(question, truth, answer, lane))
+
+
 def score(question: bytes, truth: bytes, answer: bytes, lane: str = "check") -> tuple[float, float]:
     """(raw, public); an empty answer scores nothing before its tie slot."""
-    raw = raw_score(question, truth, answer) if answer.strip() else 0.0
+    raw = composite(question, truth, answer, lane)
     return raw, tie_slot(contrast(raw), fnv64(question, truth, answer), lane)
 
 
-_BREAKDOWN = "raw double, score double"
+def bm25(query: bytes, document: bytes) -> float:
+    """Of a text against a reference: constant weights, each term of the reference counts as often as it stands there."""
+    q, d = (_terms(x) for x in (query, document))
+    if not q or not d:
+        return 0.0
+    norm = 1 - B + B * len(d) / ((len(q) + len(d)) / 2)
+    times = Counter(d)
+    return _clamp(sum(times[t] * (K1 + 1) / (times[t] + K1 * norm) for t in q if times[t]) / (len(q) * (K1 + 1)))
+
+
+def _terms(raw: bytes) -> list[str]:
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return []
+    runs = (w for w in re.findall(r"[^\W_]+", text) if len(w.encode()) >= 2)
+    return ["".join(c.lower() if c.isascii() else c for c in w) for w in runs][:MOST_TERMS]
+
+
+def length_quality(answer: bytes) -> float:
+    return 1 / (1 + math.exp(-(len(answer) - 50) / 20))
+
+
+FIELDS = ("relevance", "correctness", "lexical", "length_quality", "raw_score", "score")
+
+
+def fields(question: bytes, truth: bytes, answer: bytes, lane: str = "check", vectors: dict | None = None) -> tuple[float, ...]:
+    """relevance, correctness, lexical, length quality, raw and public score; the first five are 0 for an empty answer.
+
+    ``vectors`` keeps projections of texts that come again, as a question or a reference does with many answers.
+    """
+    raw, public = score(question, truth, answer, lane)
+    if not answer.strip():
+        return 0.0, 0.0, 0.0, 0.0, 0.0, public
+    vectors = {} if vectors is None else vectors
+    for x in (question, truth, answer):
+        if x not in vectors:
+            vectors[x] = projection.project(x)
+    near = lambda x: projection.cosine(vectors[x], vectors[answer])
+    return near(question), near(truth), bm25(truth, answer), length_quality(answer), raw, public
+
+
+_BREAKDOWN = ", ".join(f"{f} double" for f in FIELDS)
+_RAW = "raw double, score double"
+
+
+def _rows(columns, lane: str, work) -> list[tuple]:
+    known: dict[tuple, tuple] = {}
+    out = []
+    for row in zip(*columns, strict=True):
+        if row not in known:
+            known[row] = work(*((x or "").encode() for x in row), lane)
+        out.append(known[row])
+    return out
 
 
 def breakdown(question: Column, truth: Column, answer: Column, lane: str = "check") -> Column:
-    """A struct of the raw and the public score."""
+    """A struct of the six fields."""
 
     @F.pandas_udf(_BREAKDOWN)
     def work(q: pd.Series, t: pd.Series, a: pd.Series) -> pd.DataFrame:
-        rows = [score(*((x or "").encode() for x in r), lane=lane) for r in zip(q, t, a, strict=True)]
-        return pd.DataFrame(rows, columns=["raw", "score"])
+        vectors: dict = {}
+        return pd.DataFrame(_rows((q, t, a), lane, lambda *r: fields(*r, vectors=vectors)), columns=list(FIELDS), dtype=float)
+
+    return work(question, truth, answer)
+
+
+def both_scores(question: Column, truth: Column, answer: Column, lane: str = "check") -> Column:
+    """A struct of the raw and the public score."""
+
+    @F.pandas_udf(_RAW)
+    def work(q: pd.Series, t: pd.Series, a: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(_rows((q, t, a), lane, score), columns=["raw", "score"], dtype=float)
 
     return work(question, truth, answer)
 
 
 def score_pairs(df: DataFrame, question: str, truth: str, answer: str, lane: str = "check") -> DataFrame:
-    scored = df.withColumn("_s", breakdown(F.col(question), F.col(truth), F.col(answer), lane))
+    scored = df.withColumn("_s", both_scores(F.col(question), F.col(truth), F.col(answer), lane))
     return scored.select(*df.columns, F.col("_s.raw").alias("raw"), F.col("_s.score").alias("score"))
 
 
 def register_functions(spark: SparkSession, lane: str = "check") -> None:
-    """rank_answer(question, truth, answer) for SQL."""
+    """rank_answer, baseline_answer (the raw score) and breakdown_answer, each of (question, truth, answer), for SQL."""
 
-    @F.pandas_udf(T.DoubleType())
-    def rank_answer(q: pd.Series, t: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([score(*((x or "").encode() for x in r), lane=lane)[1] for r in zip(q, t, a, strict=True)])
+    def named(of):
+        @F.pandas_udf(T.DoubleType())
+        def work(q: pd.Series, t: pd.Series, a: pd.Series) -> pd.Series:
+            return pd.Series([of(r) for r in _rows((q, t, a), lane, score)], dtype=float)
+
+        return work
+
+    @F.pandas_udf(_BREAKDOWN)
+    def breakdown_answer(q: pd.Series, t: pd.Series, a: pd.Series) -> pd.DataFrame:
+        vectors: dict = {}
+        return pd.DataFrame(_rows((q, t, a), lane, lambda *r: fields(*r, vectors=vectors)), columns=list(FIELDS), dtype=float)
 
-    spark.udf.register("rank_answer", rank_answer)
+    spark.udf.register("rank_answer", named(lambda r: r[1]))
+    spark.udf.register("baseline_answer", named(lambda r: r[0]))
+    spark.udf.register("breakdown_answer", breakdown_answer)

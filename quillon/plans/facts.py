@@ -22,65 +22,104 @@ def _reports(spark, sf_dir):
 SELECT event_id, kind, value FROM (SELECT event_id, unnest([{'kind': 'temperature', 'value': round(value / 2, 1)}, {'kind': 'wind', 'value': round(value / 4, 1)},
   {'kind': 'humidity', 'value': CAST(json_extract_string(props, '$.k') AS DOUBLE)}], recursive := true) FROM events)""")
 def number_facts(spark, sf_dir):
-    return _reports(spark, sf_dir).select("event_id", F.explode(X.fact_rows(F.col("text"))).alias("f")).select("event_id", "f.kind", "f.value")
+    return _reports(spark, sf_dir).select("event_id", F.explode(X.fact_rows(F.col("text"), "forecast")).alias("f")).select("event_id", "f.kind", "f.value")
 
 
-@register("fact_penalties", """
+_PAIRED = """
 WITH e AS (SELECT event_id, round(value / 2, 1) AS t, round(value / 4, 1) AS w, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS h,
   lag(round(value / 2, 1)) OVER o AS t0, lag(round(value / 4, 1)) OVER o AS w0, lag(CAST(json_extract_string(props, '$.k') AS DOUBLE)) OVER o AS h0 FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
-p AS (SELECT event_id, CASE WHEN abs(t - t0) <= 0.5 THEN 0 WHEN abs(t - t0) <= 2 THEN -0.01 ELSE -0.13 END + CASE WHEN abs(w - w0) <= 2 THEN 0 ELSE -0.085 END + CASE WHEN abs(h - h0) <= 5 THEN 0 ELSE -0.08 END AS s
-  FROM e WHERE t0 IS NOT NULL)
-SELECT event_id, round(CAST(greatest(-0.4, s) AS DOUBLE), 4) AS adjustment FROM p""")
-def fact_penalties(spark, sf_dir):
+p AS (SELECT event_id, CASE WHEN abs(t - t0) <= 0.5 THEN 0 WHEN abs(t - t0) <= 2 THEN -0.01 ELSE -0.08 END AS pt, CASE WHEN abs(w - w0) <= 2 THEN 0 ELSE -0.04 END AS pw, CASE WHEN abs(h - h0) <= 5 THEN 0 ELSE -0.05 END AS ph FROM e WHERE t0 IS NOT NULL)
+"""
+
+
+def _with_before(spark, sf_dir):
     before = F.lag("text").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = _reports(spark, sf_dir).withColumn("before", before).where("before IS NOT NULL")
-    return rows.select("event_id", F.round(X.fact_adjustment(F.col("before"), F.col("text")), 4).alias("adjustment"))
+    return _reports(spark, sf_dir).withColumn("before", before).where("before IS NOT NULL")
+
+
+@register("fact_penalties", _PAIRED + """
+SELECT event_id, round(CAST(greatest(-0.45, pt + pw + ph - CASE WHEN pt < 0 THEN 0.05 ELSE 0 END - CASE WHEN pw < 0 THEN 0.05 ELSE 0 END - CASE WHEN ph < 0 THEN 0.025 ELSE 0 END) AS DOUBLE), 4) AS adjustment FROM p""")
+def fact_penalties(spark, sf_dir):
+    """The whole adjustment of the forecast lane: both reports have the same facts, so wrong ones cost more."""
+    adjustment = X.fact_adjustment(F.lit(""), F.col("before"), F.col("text"), "forecast")
+    return _with_before(spark, sf_dir).select("event_id", F.round(adjustment, 4).alias("adjustment"))
+
+
+@register("fact_pairing", _PAIRED + """SELECT event_id, unnest(['temperature', 'wind', 'humidity']) AS kind, round(CAST(unnest([pt, pw, ph]) AS DOUBLE), 4) AS penalty FROM p""")
+def fact_pairing(spark, sf_dir):
+    paired = F.explode(X.fact_pairs(F.col("before"), F.col("text"), "forecast")).alias("p")
+    return _with_before(spark, sf_dir).select("event_id", paired).select("event_id", "p.kind", F.round("p.penalty", 4).alias("penalty"))
+
+
+@register("range_violation", """SELECT event_id, round(value / 4, 1) < round(20 - value / 4, 1) AS crossed FROM events""")
+def range_violation(spark, sf_dir):
+    """Whether a report's high lies below its low; the two stand too far apart to take each other's words."""
+    ship_package(spark)
+    shown = lambda x: F.concat(F.round(x, 1).cast("string"), F.lit("°C"))
+    text = F.concat(F.lit("The high is "), shown(F.col("value") / 4), F.lit("." + "-" * 120 + "The low is "), shown(20 - F.col("value") / 4))
+    return table(spark, sf_dir, "events").select("event_id", X.range_violation(text).alias("crossed"))
 
 
 @register("date_parse", """SELECT o_orderkey, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS iso, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS named FROM orders""")
 def date_parse(spark, sf_dir):
     """Days from texts with an ISO date and with a month's name."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("due "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" or "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(".")).alias("text"))
-    iso = F.to_date(F.regexp_extract("text", r"([0-9]{4}-[0-9]{2}-[0-9]{2})", 1))
-    named = F.to_date(F.regexp_extract("text", r"([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})", 1), "MMMM d, yyyy")
-    return o.select("o_orderkey", F.unix_date(iso).alias("iso"), F.unix_date(named).alias("named"))
+    ship_package(spark)
+    due = lambda form: F.concat(F.lit("due "), F.date_format("o_orderdate", form), F.lit("."))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.date_rows(due("yyyy-MM-dd"))[0].alias("iso"), X.date_rows(due("MMMM d, yyyy"))[0].alias("named"))
 
 
 @register("duration_compare", """
 WITH d AS (SELECT event_id, event_id % 9 AS a, event_id % 7 AS b FROM events)
-SELECT event_id, CAST(a * 24 AS INTEGER) AS hours, CAST(CASE WHEN a >= 1 AND a * 24 <= 168 AND b >= 1 THEN a * 24 <> b ELSE false END AS BOOLEAN) AS differs FROM d""")
+SELECT event_id, CAST(a * 24 AS INTEGER) AS hours, a >= 1 AND b >= 1 AND a * 24 <> b AS differs FROM d""")
 def duration_compare(spark, sf_dir):
-    """The hours that "N-day" and "N hours" stand for, compared where both lie within 1 to 168."""
+    """The hours that "N-day" and "for N hours" stand for; a number out of range is no duration."""
+    ship_package(spark)
     a, b = F.col("event_id") % 9, F.col("event_id") % 7
-    texts = table(spark, sf_dir, "events").select("event_id", F.concat(a, F.lit("-day outlook")).alias("x"), F.concat(F.lit("for "), b, F.lit(" hours")).alias("y"))
-    days = F.regexp_extract("x", r"([0-9]{1,3})[\s-]*days?\b", 1).cast("int") * 24
-    hours = F.regexp_extract("y", r"([0-9]{1,3})[\s-]*hours?\b", 1).cast("int")
-    return texts.select("event_id", days.alias("hours"), F.when(days.between(1, 168) & hours.between(1, 168), days != hours).otherwise(False).alias("differs"))
+    days = X.duration_rows(F.concat(a.cast("string"), F.lit("-day outlook")))
+    hours = X.duration_rows(F.concat(F.lit("for "), b.cast("string"), F.lit(" hours")))
+    read = table(spark, sf_dir, "events").select("event_id", days.alias("x"), hours.alias("y"))
+    return read.select("event_id", F.coalesce(F.get("x", F.lit(0)), F.lit(0)).alias("hours"), ((F.size("x") == 1) & (F.size("y") == 1) & (F.get("x", F.lit(0)) != F.get("y", F.lit(0)))).alias("differs"))
 
 
 @register("coord_mismatch", """
-SELECT c_custkey, abs(round(c_acctbal / 200, 2) - round(c_acctbal / 200 + (c_custkey % 5) / 10.0, 2)) > 0.2001 AS far FROM customer WHERE c_custkey % 5 <> 2""")
+WITH p AS (SELECT c_custkey, c_acctbal / 200 AS lat, c_custkey % 5 / 10.0 AS off FROM customer)
+SELECT c_custkey, abs(CAST(printf('%.2f', lat) AS DOUBLE) - CAST(printf('%.2f', lat + off) AS DOUBLE)) > 0.2 AS far FROM p""")
 def coord_mismatch(spark, sf_dir):
-    lat, off = F.round(F.col("c_acctbal") / 200, 2), F.col("c_custkey") % 5 / 10.0
-    text = lambda x: F.concat(F.lit("at "), F.format_string("%.2f", x), F.lit(", 10.50 now"))
-    read = lambda t: F.regexp_extract(t, r"(-?[0-9]{1,2}\.[0-9]+)\s*,\s*(-?[0-9]{1,3}\.[0-9]+)", 1).cast("double")
-    c = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 2")
-    return c.select("c_custkey", (F.abs(read(text(lat)) - read(text(F.round(F.col("c_acctbal") / 200 + off, 2)))) > 0.2001).alias("far"))
+    """Whether two reports' coordinates are more than 0.2 degrees apart, at the boundary by the figures as written."""
+    ship_package(spark)
+    lat, off = F.col("c_acctbal") / 200, F.col("c_custkey") % 5 / 10.0
+    text = lambda x: F.concat(F.lit("at coordinates "), F.format_string("%.2f", x), F.lit(", 10.50 now"))
+    return table(spark, sf_dir, "customer").select("c_custkey", X.far_coordinates(text(lat), text(lat + off)).alias("far"))
 
 
 @register("unit_consistency", """SELECT event_id, abs(round(value / 2, 1) - (round(value, 1) - 32) * 5 / 9) > 1 AS trips FROM events""")
 def unit_consistency(spark, sf_dir):
     """Whether a text's two temperatures, in two units, are over a degree apart."""
+    ship_package(spark)
     v = F.col("value")
-    c, f = F.round(v / 2, 1), F.round(v, 1)
-    e = table(spark, sf_dir, "events").select("event_id", F.concat(c.cast("string"), F.lit("°C ("), f.cast("string"), F.lit("°F)")).alias("text"))
-    number = lambda u: F.regexp_extract("text", rf"(-?[0-9.]+)°{u}", 1).cast("double")
-    return e.select("event_id", (F.abs(number("C") - (number("F") - 32) * 5 / 9) > 1).alias("trips"))
+    text = F.concat(F.round(v / 2, 1).cast("string"), F.lit("°C ("), F.round(v, 1).cast("string"), F.lit("°F)"))
+    return table(spark, sf_dir, "events").select("event_id", X.unit_conflict(text).alias("trips"))
 
 
-@register("stale_observation", """SELECT event_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) > 3600000000 AS stale FROM events QUALIFY lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL""")
+@register("stale_observation", """
+WITH e AS (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events)
+SELECT event_id, epoch(date_trunc('minute', after)) - epoch(date_trunc('minute', ts)) > 3600 AS stale FROM e WHERE after IS NOT NULL""")
 def stale_observation(spark, sf_dir):
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    """Whether a report is over an hour older than the user's next one, by the times in their texts."""
+    ship_package(spark)
     after = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = table(spark, sf_dir, "events").withColumn("after", after).where("after IS NOT NULL")
-    return rows.select("event_id", (micros(F.col("after")) - micros(F.col("ts")) > 3_600_000_000).alias("stale"))
+    text = lambda c: F.concat(F.lit("weather as of "), F.date_format(c, "yyyy-MM-dd'T'HH:mm'Z'"))
+    return rows.select("event_id", X.stale_answer(text("after"), text("ts")).alias("stale"))
+
+
+@register("place_penalty", """
+WITH c AS (SELECT c_custkey, c_nationkey % 3 AS k FROM customer) SELECT c_custkey, CAST(CASE k WHEN 0 THEN 0.0 WHEN 1 THEN -0.12 ELSE -0.30 END AS DOUBLE) AS cost FROM c""")
+def place_penalty(spark, sf_dir):
+    """Answers that name the place asked for, none, and another one."""
+    ship_package(spark)
+    k = F.col("c_nationkey") % 3
+    name = F.col("c_mktsegment")
+    answer = F.when(k == 0, F.concat(F.lit("Rain in "), name)).when(k == 1, "Rain at the location").otherwise("Rain in Atlantis")
+    cost = X.place_cost(F.concat(F.lit("What is the weather in "), name, F.lit("?")), F.concat(F.lit("Rain in "), name), answer)
+    return table(spark, sf_dir, "customer").select("c_custkey", cost.alias("cost"))
