@@ -31,7 +31,7 @@ from quillon.session import Scratch, ship_package, table
 SHARDS = 24
 RANGES_PER_SHARD = 128
 DRAWS = 8
-#: A range with more than this many times the mean is overfull.
+#: A range that holds more than this many times the mean beside its largest record is overfull.
 OVERFULL = 4.0
 #: Each round divides an overfull range into many; so many rounds without an end mean a fault, not a hard table.
 MOST_ROUNDS = 40
@@ -105,8 +105,8 @@ def _measured(ranged: DataFrame) -> pd.DataFrame:
     ends = F.struct("key", "tie")
     return (
         ranged.groupBy("range")
-        .agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.min(ends).alias("low"), F.max(ends).alias("high"))
-        .select("range", "bytes", "rows", (F.col("low") < F.col("high")).alias("divisible"))
+        .agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), (F.sum("size") - F.max("size")).alias("rest"), F.min(ends).alias("low"), F.max(ends).alias("high"))
+        .select("range", "bytes", "rows", "rest", (F.col("low") < F.col("high")).alias("divisible"))
         .toPandas()
         .sort_values("range", ignore_index=True)
     )
@@ -133,7 +133,7 @@ def shard(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int
         cuts = Cuts(between, np.zeros(len(between), np.int64))
         for again in range(1, MOST_ROUNDS + 1):
             sizes = _measured(_ranged(light, cuts))
-            full = sizes[(sizes["bytes"] > OVERFULL * total / parts) & (sizes["rows"] > 1) & sizes["divisible"]]
+            full = sizes[(sizes["rest"] > OVERFULL * total / parts) & sizes["divisible"]]
             if full.empty:
                 break
             part = _ranged(light, cuts).join(F.broadcast(spark.createDataFrame(full[["range"]])), "range", "left_semi")

@@ -51,6 +51,11 @@ def test_many_rows_alike_in_every_respect(spark, doc_id):
     assert len({r.shard for r in got}) == 24
 
 
+def test_records_far_larger_than_a_range(spark):
+    rng = np.random.default_rng(3)
+    check(spark, [(i, "x" * int(rng.choice([30, 300, 30_000], p=[0.8, 0.19, 0.01]))+ str(i)) for i in range(6000)], 0.2)
+
+
 def test_places_by_key_and_tie():
     """Against the plain order of pairs."""
     rng = np.random.default_rng(1)
