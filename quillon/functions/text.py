@@ -14,6 +14,8 @@ _W = r"[A-Za-z0-9\x{80}-\x{10FFFF}]"
 TOKEN = rf"(?:{_W}*[0-9][.,])*[0-9]{_W}*|{_W}+"
 #: Runs of letters and digits of any script.
 TERM = r"[\p{L}\p{N}]+"
+#: A figure and the letters that stand on it or follow it after spaces.
+FIGURE = r"[0-9][0-9,]*(?:\.[0-9]+)?(?:[ ]*[A-Za-z]+)?"
 MOST_TOKENS, MOST_TERMS = 2048, 256
 K1, B = 1.5, 0.75
 
@@ -154,3 +156,21 @@ def whole_word_count(text: Column, words: list[str]) -> Column:
     """How often any of the words stands whole; underscores and letters of other scripts are word characters."""
     guard = r"[A-Za-z0-9_\x{80}-\x{10FFFF}]"
     return F.regexp_count(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?<!{guard})(?:{'|'.join(words)})(?!{guard})"))
+
+
+def figure_values(text: Column) -> Column:
+    """Figures of a text, commas dropped, times the scale word or suffix behind them: an array of value and scale (a power of ten)."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(FIGURE), F.lit(0))
+
+    def one(m: Column) -> Column:
+        number = F.regexp_replace(F.regexp_extract(m, r"^[0-9][0-9,]*(?:\.[0-9]+)?", 0), ",", "").cast("double")
+        power = F.coalesce(_lookup(SCALES, ascii_lower(F.regexp_extract(m, "([A-Za-z]*)$", 1))), F.lit(0))
+        return F.struct((number * F.pow(F.lit(10.0), power)).alias("value"), power.alias("scale"))
+
+    return F.transform(found, one)
+
+
+def close(a: Column, b: Column, most: float = 0.005) -> Column:
+    """Whether two figures differ by at most half a percent of the larger one."""
+    larger = F.greatest(F.abs(a), F.abs(b))
+    return F.when(larger == 0, True).otherwise(F.abs(a - b) / larger <= most)

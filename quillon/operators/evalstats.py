@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quillon.operators import ordered
 
 
 def average_rank(df: DataFrame, value: str, name: str, by: str | None = None) -> DataFrame:
     """Ranks from 1; equal values get the mean of their places.
 
-    Counting distinct values first keeps the ordered pass to one row per value; with ``by`` the passes run per group.
+    Distinct values are counted first, so the ordered pass has one row per value, in bands of the order.
     """
     keys = [by] if by else []
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    upto = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.withColumn(name, upto - (F.col("_c") - 1) / 2.0).drop("_c")
+    ranks = ordered.running_total(counts, keys, value, "_c", "_upto").select(*keys, value, (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(name))
     return df.join(ranks, [*keys, value])
 
 
@@ -33,8 +32,9 @@ def nearest_percentile(df: DataFrame, value: str, fractions: list[tuple[int, int
     """The value at the index nearest to last * num / den (halves up), found by counts rather than by collecting."""
     keys = [by] if by else []
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    upto = counts.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    sizes = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
+    upto = ordered.running_total(counts, keys, value, "c", "upto")
+    upto = upto.join(sizes, keys) if keys else upto.join(F.broadcast(sizes), F.lit(True))
     index = lambda num, den: F.floor(((F.col("n") - 1) * num + den // 2) / den)
     hit = lambda num, den: F.min(F.when(F.col("upto") > index(num, den), F.col(value)))
     return upto.groupBy(*keys).agg(*(hit(a, b).alias(f"p{100 * a // b}") for a, b in fractions))
@@ -52,9 +52,7 @@ def tie_counts(df: DataFrame, score: str, key: str) -> DataFrame:
 
 def staircase(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     """Rows whose y is above that of every row before them in the order of x."""
-    order = Window.orderBy(x, y, tie)
-    before = F.max(y).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") < F.col(y))).drop("_before")
+    return ordered.above_all_before(df, [x, y, tie], y)
 
 
 def logistic_contrast(x: Column, k: Column, c: Column) -> Column:

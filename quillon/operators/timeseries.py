@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 
 from quillon.functions import scalars as S
 
+#: Hours that are looked through together for the nearest one that has rows.
+BLOCK_HOURS = 1000
+
 
 def horizon_summary(df: DataFrame, key: str, ts: str, value: str, probability: str, code: str, hours: int = 24) -> DataFrame:
     """Per key, from its first row over the given hours (both ends in): extremes, and the probability range of wet rows if any is wet."""
@@ -70,32 +73,34 @@ def _first_times(test: Column, ts: str, listed: int) -> Column:
 def nearest_rows(grid: DataFrame, rows: DataFrame, grid_ts: str, ts: str, order: str) -> DataFrame:
     """For each grid time the row nearest in time; at equal distance the earlier one, then by ``order``.
 
-    Both sides are put in one order, each grid time looks back and ahead for the last and the first row, and the nearer one stays.
-    Times are partitioned by day; the rows at the ends of neighbouring days are found by a second, small pass, so that no task
-    sees more than a day.
+    Both sides are put in one order within an hour, each grid time looks back and ahead for the last and the first row, and the
+    nearer one stays. The rows at the ends of the nearest hours that have any come from a table with one row per hour, in
+    blocks of ``BLOCK_HOURS``, whose own ends form a table of a few rows. No task sees more than an hour's rows or a block's hours.
     """
     named = rows.select(F.col(ts).alias("t"), F.struct(F.col(ts).alias("t"), *(F.col(c) for c in rows.columns if c != ts)).alias("row"), F.col(order).alias("o"))
     asked = grid.select(F.col(grid_ts).alias("t"))
-    both = named.select("t", "row", "o").unionByName(asked, allowMissingColumns=True).withColumn("day", F.to_date("t"))
-    per_day = Window.partitionBy("day").orderBy("t", F.col("row").isNull().cast("int"), "o")
-    back, ahead = per_day.rowsBetween(Window.unboundedPreceding, 0), per_day.rowsBetween(0, Window.unboundedFollowing)
-    firsts = named.groupBy(F.to_date("t").alias("day")).agg(F.min(F.struct("t", "o", "row")).alias("first"), F.max(F.struct("t", (-F.col("o")).alias("o"), "row")).alias("last"))
-    in_order = Window.orderBy("day")
+    hour = F.floor(F.unix_micros(F.col("t").cast("timestamp")) / 3_600_000_000)
+    both = named.select("t", "row", "o").unionByName(asked, allowMissingColumns=True).withColumn("hour", hour)
+    per_hour = Window.partitionBy("hour").orderBy("t", F.col("row").isNull().cast("int"), "o")
+    back, ahead = per_hour.rowsBetween(Window.unboundedPreceding, 0), per_hour.rowsBetween(0, Window.unboundedFollowing)
+    firsts = named.groupBy(hour.alias("hour")).agg(F.min(F.struct("t", "o", "row")).alias("first"), F.max(F.struct("t", (-F.col("o")).alias("o"), "row")).alias("last"))
+    hours = asked.select(hour.alias("hour")).distinct().join(firsts, "hour", "full").withColumn("block", F.floor(F.col("hour") / BLOCK_HOURS))
+    blocks = hours.groupBy("block").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    near = lambda w, first, last: (F.last(last, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first(first, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    before_block, after_block = near(Window.orderBy("block"), "first", "last")
+    outside = blocks.select("block", before_block.alias("before_block"), after_block.alias("after_block"))
+    before, after = near(Window.partitionBy("block").orderBy("hour"), "first", "last")
     ends = (
-        asked.select(F.to_date("t").alias("day"))
-        .distinct()
-        .join(firsts, "day", "full")
-        .select(
-            "day",
-            F.last("last", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-            F.first("first", ignorenulls=True).over(in_order.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
-        )
+        hours.withColumn("before", before)
+        .withColumn("after", after)
+        .join(outside, "block")
+        .select("hour", F.coalesce("before", "before_block").alias("before"), F.coalesce("after", "after_block").alias("after"))
     )
     found = (
         both.withColumn("prev", F.last("row", ignorenulls=True).over(back))
         .withColumn("next", F.first("row", ignorenulls=True).over(ahead))
         .where(F.col("row").isNull())
-        .join(ends, "day", "left")
+        .join(ends, "hour", "left")
         .withColumn("prev", F.coalesce("prev", "before.row"))
         .withColumn("next", F.coalesce("next", "after.row"))
     )

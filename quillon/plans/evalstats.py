@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.operators import evalstats as E
+from quillon.operators import ordered
 from quillon.plans.catalogue import register
 from quillon.session import table
 
@@ -130,9 +131,8 @@ def semi_anti_champion(spark, sf_dir):
 WITH a AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer), b AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier)
 SELECT c_nationkey AS nation, a.rn AS rn, c_custkey, s_suppkey FROM a JOIN b ON c_nationkey = s_nationkey AND a.rn = b.rn""")
 def positional_join(spark, sf_dir):
-    number = lambda df, by, order: df.withColumn("rn", F.row_number().over(Window.partitionBy("nation").orderBy(order)).cast("bigint"))
-    a = number(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey"), "nation", "c_custkey")
-    b = number(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey"), "nation", "s_suppkey")
+    a = ordered.positions(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey"), ["nation"], "c_custkey", "rn")
+    b = ordered.positions(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey"), ["nation"], "s_suppkey", "rn")
     return a.join(b, ["nation", "rn"])
 
 
@@ -140,8 +140,8 @@ def positional_join(spark, sf_dir):
 WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS c FROM documents)
 SELECT lang, count(*) FILTER (WHERE rn <= c * 78 // 100) AS fit, count(*) FILTER (WHERE rn > c * 78 // 100) AS holdout FROM n GROUP BY lang""")
 def holdout_split(spark, sf_dir):
-    by = Window.partitionBy("lang")
-    n = table(spark, sf_dir, "documents").select("lang", "doc_id").withColumn("rn", F.row_number().over(by.orderBy("doc_id"))).withColumn("c", F.count("*").over(by))
+    rows = table(spark, sf_dir, "documents").select("lang", "doc_id")
+    n = ordered.positions(rows, ["lang"], "doc_id", "rn").join(rows.groupBy("lang").agg(F.count("*").alias("c")), "lang")
     fit = (F.col("rn") <= F.floor(F.col("c") * 78 / 100)).cast("int")
     return n.groupBy("lang").agg(F.sum(fit).alias("fit"), F.sum(1 - fit).alias("holdout"))
 

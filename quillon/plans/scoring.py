@@ -40,12 +40,23 @@ def tie_slots(spark, sf_dir):
 
 @register("acronym_bridge")
 def acronym_bridge(spark, sf_dir):
-    """The capitals of the first letters of an item's words, scored against the words."""
+    """Whole documents, their words capitalised, against the capitals of each three words of theirs."""
     ship_package(spark)
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.split("text", " "), 1, 4).alias("w"))
-    named = items.select("item_id", F.initcap(F.array_join("w", " ")).alias("truth"), F.upper(F.array_join(F.transform("w", lambda x: F.left(x, F.lit(1))), "")).alias("answer"))
-    scored = scoring.score_pairs(named.withColumn("question", F.lit("")), "question", "truth", "answer")
-    return scored.select("item_id", F.round("raw", 6).alias("raw"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "").alias("w"))
+    first = F.transform("w", lambda x: F.upper(F.left(x, F.lit(1))))
+    capitals = docs.select("doc_id", F.initcap(F.array_join("w", " ")).alias("truth"), first.alias("c"))
+    three = F.transform("c", lambda c, i: F.concat_ws("", c, F.get("c", i + 1), F.get("c", i + 2)))
+    named = capitals.select("doc_id", "truth", F.array_join(three, " ").alias("answer"), F.lit("").alias("question"))
+    return scoring.score_pairs(named, "question", "truth", "answer").select("doc_id", F.round("raw", 6).alias("raw"))
+
+
+@register("breakdown_answer")
+def breakdown_answer(spark, sf_dir):
+    """The six fields of each answer, by the SQL function."""
+    scoring.register_functions(spark)
+    _pairs(spark, sf_dir).createOrReplaceTempView("quillon_pairs")
+    scored = spark.sql("SELECT conv_id, turn, breakdown_answer(question, question, answer) AS b FROM quillon_pairs")
+    return scored.select("conv_id", "turn", *(F.round(f"b.{f}", 6).alias(f) for f in scoring.FIELDS))
 
 
 @register("projection_cosine")

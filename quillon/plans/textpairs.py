@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.functions.tables import AXES, NEGATORS, NUMERALS, STOPWORDS
+from quillon.functions.facts import CLEAR, CLOUDY, SIGNAL, WET
+from quillon.functions.tables import AXES, NEGATORS, NUMERALS, SCALES, STOPWORDS
 from quillon.operators import textpairs as P
 from quillon.plans.catalogue import register
 from quillon.session import table
@@ -19,7 +20,7 @@ _PAIRS = """SELECT a.conv_id, b.turn, a.text AS question, b.text AS answer FROM
   ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant'"""
 
 
-def _tokens_sql(source: str, keys: str, text: str) -> str:
+def _tokens_sql(source: str, keys: str, text: str, most: str = "[1:2048]") -> str:
     """SQL for the token table: keys, pos from 0, token, word, numeric, stem, weight."""
     return f"""
   SELECT *, CASE WHEN numeric THEN word WHEN n >= 7 AND low LIKE '%ing' THEN left(low, length(low) - 3)
@@ -33,7 +34,7 @@ def _tokens_sql(source: str, keys: str, text: str) -> str:
       (regexp_matches(token, '[0-9]') AND NOT regexp_matches(token, '[A-Za-z\\x{{80}}-\\x{{10FFFF}}]')) OR low IN {_IN(NUMERALS)} AS numeric
     FROM (SELECT *, replace({_LOW('token')}, ',', '') AS low FROM (
       SELECT {keys}, opens, unnest(toks) AS token, unnest(range(len(toks))) AS pos FROM (
-        SELECT {keys}, regexp_matches({text}, '^[A-Za-z0-9]') AS opens, regexp_extract_all({text}, '{_TOKEN}')[1:2048] AS toks FROM {source}))))"""
+        SELECT {keys}, regexp_matches({text}, '^[A-Za-z0-9]') AS opens, regexp_extract_all({text}, '{_TOKEN}'){most} AS toks FROM {source}))))"""
 
 
 @register("bm25_pairs", rf"""
@@ -49,13 +50,15 @@ def bm25_pairs(spark, sf_dir):
 
 
 @register("token_weights", f"""
-WITH t AS ({_tokens_sql('documents', 'doc_id', 'text')})
+WITH t AS ({_tokens_sql('documents', 'doc_id', 'text', '')})
 SELECT doc_id, count(*) AS n, round(CAST(sum(weight) AS DOUBLE), 4) AS total, count(*) FILTER (WHERE weight > 0.5) AS content, count(*) FILTER (WHERE numeric) AS figures FROM t GROUP BY doc_id""")
 def token_weights(spark, sf_dir):
-    rows = P.token_rows(table(spark, sf_dir, "documents"), ["doc_id"], "text")
-    return rows.groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("total"), F.count(F.when(F.col("weight") > 0.5, 1)).alias("content"),
-        F.count(F.when(X.is_numeric(F.col("token")), 1)).alias("figures"),
+    """Whole texts: the score's cap on tokens does not apply."""
+    read = table(spark, sf_dir, "documents").select("doc_id", P.token_array(F.col("text"), None).alias("t")).where(F.size("t") > 0)
+    count = lambda test: F.size(F.filter("t", test)).cast("bigint")
+    return read.select(
+        "doc_id", F.size("t").cast("bigint").alias("n"), F.round(F.aggregate("t", F.lit(0.0), lambda a, t: a + t["weight"]), 4).alias("total"),
+        count(lambda t: t["weight"] > 0.5).alias("content"), count(lambda t: t["numeric"]).alias("figures"),
     )
 
 
@@ -67,14 +70,13 @@ def stem_alt(spark, sf_dir):
 
 
 @register("number_words", f"""
-WITH n AS (SELECT n_nationkey, unnest(['Two cats', 'seven of nine', 'ONE thousand', 'a Billion 1,000 bits', '3.14 or 22C', 'no figures', 'twenty-one']) AS t FROM nation WHERE n_nationkey < 2),
-t AS ({_tokens_sql('n', 'n_nationkey, t', 't')}) SELECT n_nationkey, t, string_agg(word, '|' ORDER BY pos) AS words, count(*) FILTER (WHERE numeric) AS figures FROM t GROUP BY n_nationkey, t""")
+WITH t AS ({_tokens_sql('documents', 'doc_id', 'text', '')})
+SELECT doc_id, count(*) FILTER (WHERE numeric) AS figures, count(*) FILTER (WHERE low IN {_IN(NUMERALS)}) AS spelled, coalesce(string_agg(word, '|' ORDER BY pos) FILTER (WHERE low IN {_IN(NUMERALS)}), '') AS words FROM t GROUP BY doc_id""")
 def number_words(spark, sf_dir):
-    texts = ["Two cats", "seven of nine", "ONE thousand", "a Billion 1,000 bits", "3.14 or 22C", "no figures", "twenty-one"]
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 2").select("n_nationkey", F.explode(F.array(*(F.lit(t) for t in texts))).alias("t"))
-    rows = P.token_rows(n, ["n_nationkey", "t"], "t")
-    words = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), "|")
-    return rows.groupBy("n_nationkey", "t").agg(words.alias("words"), F.count(F.when(X.is_numeric(F.col("token")), 1)).alias("figures"))
+    """Spelled numbers of whole documents, as digits."""
+    read = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(X.TOKEN), F.lit(0)).alias("t")).where(F.size("t") > 0)
+    spelled = F.filter("t", lambda t: F.regexp_replace(X.ascii_lower(t), ",", "").isin(*NUMERALS))
+    return read.select("doc_id", F.size(F.filter("t", X.is_numeric)).cast("bigint").alias("figures"), F.size(spelled).cast("bigint").alias("spelled"), F.array_join(F.transform(spelled, X.normal_form), "|").alias("words"))
 
 
 def _grams_sql(column: str, n: int) -> str:
@@ -107,14 +109,14 @@ def content_bigram_dice(spark, sf_dir):
 _NEGATED_SQL = rf"""
   SELECT *, coalesce(max(CASE WHEN word IN {_IN(NEGATORS)} THEN 1 ELSE 0 END) OVER (PARTITION BY item_id, clause ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0) = 1 AS negated FROM (
     SELECT item_id, clause, pos, {_NUM} AS word FROM (SELECT item_id, clause, unnest(range(len(toks))) AS pos, replace({_LOW('unnest(toks)')}, ',', '') AS low FROM (
-      SELECT item_id, clause, regexp_extract_all(part, '{_TOKEN}') AS toks FROM (
-        SELECT item_id, unnest(range(len(parts))) AS clause, unnest(parts) AS part FROM (SELECT item_id, regexp_split_to_array(text, '[,;!?:.]+') AS parts FROM src)))))"""
-_SOURCE_SQL = """src AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'It is not true that prices rose. ' WHEN 1 THEN 'No, the claim is false, never confirmed: ' WHEN 2 THEN 'Yes, real growth without loss. ' ELSE '' END || text AS text FROM benchmark)"""
+      SELECT item_id, clause, regexp_extract_all(translate(part, chr(57344) || chr(57345), '.,'), '{_TOKEN}') AS toks FROM (
+        SELECT item_id, unnest(range(len(parts))) AS clause, unnest(parts) AS part FROM (SELECT item_id, regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g'), '([0-9])\.([0-9])', '\1' || chr(57344) || '\2', 'g'), '([0-9]),([0-9])', '\1' || chr(57345) || '\2', 'g'), '([0-9]),([0-9])', '\1' || chr(57345) || '\2', 'g'), '[,;!?:.]+') AS parts FROM src)))))"""
+_SOURCE_SQL = """src AS (SELECT doc_id AS item_id, CASE doc_id % 4 WHEN 0 THEN 'It is not true that prices rose. ' WHEN 1 THEN 'No, the claim is false, never confirmed: ' WHEN 2 THEN 'Yes, real growth without loss. ' ELSE '' END || coalesce(text, '') AS text FROM documents)"""
 
 
 def _claims(spark, sf_dir):
-    lead = F.element_at(F.array(*(F.lit(x) for x in ("It is not true that prices rose. ", "No, the claim is false, never confirmed: ", "Yes, real growth without loss. ", ""))), (F.col("item_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(lead, "text").alias("text"))
+    lead = F.element_at(F.array(*(F.lit(x) for x in ("It is not true that prices rose. ", "No, the claim is false, never confirmed: ", "Yes, real growth without loss. ", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.concat(lead, F.coalesce("text", F.lit(""))).alias("text"))
 
 
 @register("negation_marks", f"WITH {_SOURCE_SQL}, t AS ({_NEGATED_SQL}) SELECT item_id, count(*) AS n, count(*) FILTER (WHERE negated) AS negated FROM t GROUP BY item_id")
@@ -136,15 +138,22 @@ def polarity_axes(spark, sf_dir):
 
 
 @register("precision_recall_f", f"""
-WITH p AS ({_PAIRS}), a AS ({_tokens_sql('p', 'conv_id, turn', 'answer')}), t AS ({_tokens_sql('p', 'conv_id, turn', 'question')}),
-af AS (SELECT DISTINCT conv_id, turn, unnest([word, stem, alt]) AS form FROM a), tf AS (SELECT DISTINCT conv_id, turn, unnest([word, stem, alt]) AS form FROM t),
+WITH p AS (SELECT a.conv_id, b.turn, coalesce(c.text, '') AS asked, a.text AS truth, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant'
+  LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = a.turn - 1),
+a AS ({_tokens_sql('p', 'conv_id, turn', 'answer')}), t AS ({_tokens_sql('p', 'conv_id, turn', 'truth')}), q AS ({_tokens_sql('p', 'conv_id, turn', 'asked')}),
+af AS (SELECT DISTINCT conv_id, turn, unnest([word, stem, alt]) AS form FROM a), tf AS (SELECT DISTINCT conv_id, turn, unnest([word, stem, alt]) AS form FROM t), qf AS (SELECT DISTINCT conv_id, turn, unnest([word, stem, alt]) AS form FROM q),
 ah AS (SELECT a.conv_id, a.turn, a.pos, a.weight, bool_or(f.form IS NOT NULL) AS hit FROM a LEFT JOIN tf f ON a.conv_id = f.conv_id AND a.turn = f.turn AND f.form IN (a.word, a.stem, a.alt) GROUP BY ALL),
+aq AS (SELECT a.conv_id, a.turn, a.pos, bool_or(f.form IS NOT NULL) AS asked FROM a LEFT JOIN qf f ON a.conv_id = f.conv_id AND a.turn = f.turn AND f.form IN (a.word, a.stem, a.alt) GROUP BY ALL),
 th AS (SELECT t.conv_id, t.turn, t.pos, t.weight, bool_or(f.form IS NOT NULL) AS hit FROM t LEFT JOIN af f ON t.conv_id = f.conv_id AND t.turn = f.turn AND f.form IN (t.word, t.stem, t.alt) GROUP BY ALL),
-pr AS (SELECT conv_id, turn, sum(CASE WHEN hit THEN weight ELSE 0 END) / sum(weight) AS x FROM ah GROUP BY ALL), re AS (SELECT conv_id, turn, sum(CASE WHEN hit THEN weight ELSE 0 END) / sum(weight) AS r FROM th GROUP BY ALL),
+pr AS (SELECT conv_id, turn, sum(CASE WHEN hit THEN weight ELSE 0 END) / sum(CASE WHEN NOT hit AND asked THEN 0.35 * weight ELSE weight END) AS x FROM ah JOIN aq USING (conv_id, turn, pos) GROUP BY ALL),
+re AS (SELECT conv_id, turn, sum(CASE WHEN hit THEN weight ELSE 0 END) / sum(weight) AS r FROM th GROUP BY ALL),
 j AS (SELECT conv_id, turn, x * (2 - x) AS p, r FROM pr JOIN re USING (conv_id, turn))
 SELECT conv_id, turn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN 0.36 * p + r = 0 THEN 0 ELSE 1.36 * p * r / (0.36 * p + r) END, 6) AS blend FROM j""")
 def precision_recall_f(spark, sf_dir):
-    pairs = P.conversation_pairs(table(spark, sf_dir, "conversations")).withColumn("truth", F.col("question")).withColumn("asked", F.lit(""))
+    """Each answer against its user turn as the truth, with the turn before that as the question."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("asked"))
+    pairs = P.conversation_pairs(turns).withColumnRenamed("question", "truth").join(asked, ["conv_id", "turn"], "left")
     found = P.overlap(pairs, ["conv_id", "turn"], "answer", "truth", "asked")
     return found.select("conv_id", "turn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "blend")))
 
@@ -163,15 +172,52 @@ def fnv32_hash(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", X.fnv32(F.col("text")).alias("h"))
 
 
-@register("word_counts", r"""
-WITH t AS (SELECT doc_id, ' ' || regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^A-Za-z0-9_\x{80}-\x{10FFFF}]+', '  ', 'g') || ' ' AS t FROM documents)
-SELECT doc_id, len(regexp_extract_all(t, ' (?:the|and|of) ')) AS wet, len(regexp_extract_all(t, ' (?:die|der|und) ')) AS clear, len(regexp_extract_all(t, ' (?:le|la|que) ')) AS cloudy FROM t""")
+def _spaced_sql(column: str) -> str:
+    return rf"' ' || regexp_replace({_LOW(column)}, '[^A-Za-z0-9_\x{{80}}-\x{{10FFFF}}]+', '  ', 'g') || ' '"
+
+
+_COUNT = lambda words: f"CAST(len(regexp_extract_all(t, ' (?:{'|'.join(words)}) ')) AS BIGINT)"
+
+
+@register("word_counts", f"""
+WITH t AS (SELECT doc_id, {_spaced_sql('text')} AS t FROM documents)
+SELECT doc_id, {_COUNT(WET['check'])} AS wet, {_COUNT(CLEAR['check'])} AS clear, {_COUNT(CLOUDY['check'])} AS cloudy FROM t""")
 def word_counts(spark, sf_dir):
-    lists = {"wet": ["the", "and", "of"], "clear": ["die", "der", "und"], "cloudy": ["le", "la", "que"]}
+    """Words of wet, clear and cloudy weather in each document."""
+    lists = {"wet": WET["check"], "clear": CLEAR["check"], "cloudy": CLOUDY["check"]}
     return table(spark, sf_dir, "documents").select("doc_id", *(X.whole_word_count(F.col("text"), w).cast("bigint").alias(n) for n, w in lists.items()))
 
 
-@register("signal_gate", r"""
-SELECT doc_id, regexp_matches(' ' || regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^A-Za-z0-9_\x{80}-\x{10FFFF}]+', '  ', 'g') || ' ', ' (?:password|license|with|para|pour|von) ') AS signal FROM documents""")
+@register("signal_gate", f"""
+WITH t AS (SELECT doc_id, {_spaced_sql('text')} AS t FROM documents)
+SELECT doc_id, regexp_matches(t, ' (?:{'|'.join(SIGNAL['check'])}) ') AS current, regexp_matches(t, ' (?:{'|'.join(SIGNAL['forecast'])}) ') AS forecast FROM t""")
 def signal_gate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", (X.whole_word_count(F.col("text"), ["password", "license", "with", "para", "pour", "von"]) > 0).alias("signal"))
+    """Whether a document speaks of the weather, by the words of each lane."""
+    said = lambda lane: X.whole_word_count(F.col("text"), SIGNAL[lane]) > 0
+    return table(spark, sf_dir, "documents").select("doc_id", said("check").alias("current"), said("forecast").alias("forecast"))
+
+
+@register("figure_values", rf"""
+WITH f AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{X.FIGURE}')) AS m FROM documents),
+v AS (SELECT doc_id, CAST(replace(regexp_extract(m, '^[0-9][0-9,]*(?:\.[0-9]+)?'), ',', '') AS DOUBLE) AS n, {_LOW("regexp_extract(m, '([A-Za-z]*)$', 1)")} AS s FROM f)
+SELECT doc_id, count(*) AS figures, round(max(n * CASE s {" ".join(f"WHEN '{w}' THEN 1e{p}" for w, p in SCALES.items())} ELSE 1 END), 4) AS largest, count(*) FILTER (WHERE s IN {_IN(SCALES)}) AS scaled FROM v GROUP BY doc_id""")
+def figure_values(spark, sf_dir):
+    """Figures of each document with their scale words applied."""
+    read = table(spark, sf_dir, "documents").select("doc_id", X.figure_values(F.col("text")).alias("v")).where(F.size("v") > 0)
+    return read.select("doc_id", F.size("v").cast("bigint").alias("figures"), F.round(F.array_max(F.transform("v", lambda v: v["value"])), 4).alias("largest"), F.size(F.filter("v", lambda v: v["scale"] > 0)).cast("bigint").alias("scaled"))
+
+
+@register("close_figures", """
+WITH p AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS a, l_extendedprice * (1 + (l_linenumber - 3) / 400.0) AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN greatest(abs(a), abs(b)) = 0 THEN true ELSE abs(a - b) / greatest(abs(a), abs(b)) <= 0.005 END AS close FROM p""")
+def close_figures(spark, sf_dir):
+    """Whether two figures lie within half a percent of the larger."""
+    a = F.col("l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.close(a, a * (1 + (F.col("l_linenumber") - 3) / 400.0)).alias("close"))
+
+
+@register("entity_figures")
+def entity_figures(spark, sf_dir):
+    """Each figure of a document with the capitalised word nearest to it (tests hold it to literal results)."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(P.entity_figures(F.col("text"))).alias("f"))
+    return found.select("doc_id", "f.figure", "f.entity")

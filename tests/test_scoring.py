@@ -48,3 +48,24 @@ def test_sql_function_and_empty_answers(spark):
     S.register_functions(spark)
     row = spark.sql("SELECT rank_answer('q', 'the red barn', 'the red barn') AS a, rank_answer('q', 'the red barn', '') AS b, rank_answer(NULL, NULL, NULL) AS c").first()
     assert row.a > 0.8 and row.b < 0.001 and row.c < 0.001
+
+
+def test_clauses_keep_figures_whole_and_overlap_uses_the_question(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.functions import text as X
+    from quillon.operators import textpairs as P
+
+    df = spark.createDataFrame([(1, "not 1,000 or 3.14 gain. loss")], "k int, t string")
+    marks = {r.token: r.negated for r in P.negated(df, "k", "t").collect()}
+    assert marks == {"not": False, "1,000": True, "or": True, "3.14": True, "gain": True, "loss": False}
+    pairs = spark.createDataFrame([(1, "alpha beta gamma", "alpha", "beta")], "k int, a string, t string, q string")
+    r = P.overlap(pairs, ["k"], "a", "t", "q").first()
+    w = lambda n: 1 + 0.06 * n
+    x = w(5) / (w(5) + 0.35 * w(4) + w(5))
+    assert abs(r.precision - x * (2 - x)) < 1e-9 and r.recall == 1
+    found = spark.createDataFrame([("In 2020 Oslo sold 1,500 k of 3 million to Rome 7 far away from any of the others 9",)], "t string")
+    values = found.select(X.figure_values(F.col("t")).alias("v")).first().v
+    assert [(v.value, v.scale) for v in values] == [(2020.0, 0), (1500_000.0, 3), (3_000_000.0, 6), (7.0, 0), (9.0, 0)]
+    named = found.select(P.entity_figures(F.col("t")).alias("f")).first().f
+    assert [(f.figure, f.entity) for f in named] == [("2020", "In"), ("1,500", "Oslo"), ("3", "Rome"), ("7", "Rome")]
