@@ -25,7 +25,8 @@ def tokens(text: Column, most: int = MOST_TOKENS) -> Column:
 
 
 def ascii_lower(x: Column) -> Column:
-    return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = F.octet_length(x) == F.char_length(x)
+    return F.when(plain, F.lower(x)).otherwise(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def _words(values) -> Column:
@@ -38,18 +39,29 @@ def _lookup(table: dict, key: Column) -> Column:
 
 def normal_form(token: Column) -> Column:
     """Lower case, thousands commas dropped, number words as digits."""
-    low = F.regexp_replace(ascii_lower(token), ",", "")
-    return F.coalesce(_lookup(NUMERALS, low), low)
+    return _as_digits(_bare(token))
+
+
+def _bare(token: Column) -> Column:
+    return F.replace(ascii_lower(token), F.lit(","), F.lit(""))
+
+
+def _as_digits(low: Column) -> Column:
+    return F.when(low.isin(*NUMERALS), _lookup(NUMERALS, low)).otherwise(low)
+
+
+def _is_figure(token: Column) -> Column:
+    """Nothing but digits and what stands between them."""
+    return F.translate(token, "0123456789.,", "") == ""
 
 
 def is_numeric(token: Column) -> Column:
-    low = ascii_lower(token)
-    return (token.rlike("[0-9]") & ~token.rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")) | low.isin(*NUMERALS)
+    return _is_figure(token) | ascii_lower(token).isin(*NUMERALS)
 
 
 def stem(token: Column) -> Column:
     """The lower-cased token without one common ending; lengths are bytes."""
-    low, n = F.regexp_replace(ascii_lower(token), ",", ""), F.octet_length(token)
+    low, n = _bare(token), F.octet_length(token)
     cut = lambda k: F.substring(low, F.lit(1), F.length(low) - k)
     return (
         F.when(is_numeric(token), normal_form(token))
@@ -62,7 +74,7 @@ def stem(token: Column) -> Column:
 
 def alternate(token: Column) -> Column:
     """A second key: -ed to -e, or the figure that a unit is glued to."""
-    low, n = F.regexp_replace(ascii_lower(token), ",", ""), F.octet_length(token)
+    low, n = _bare(token), F.octet_length(token)
     return (
         F.when(is_numeric(token), normal_form(token))
         .when((n >= 5) & low.endswith("ed"), F.substring(low, F.lit(1), F.length(low) - 1))
@@ -73,16 +85,28 @@ def alternate(token: Column) -> Column:
 
 def weight(token: Column, first: Column) -> Column:
     """Figures 3, stopwords 0.12, other scripts 0.5, else by length, more for a capital that does not open the text."""
-    low = normal_form(token)
-    proper = F.when(~first & token.rlike("^[A-Z]"), 1.3).otherwise(0.0)
+    return weight_of(token, _bare(token), first)
+
+
+def weight_of(token: Column, low: Column, first: Column) -> Column:
+    """weight(), where the lower-cased token without commas is at hand."""
+    proper = F.when(~first & F.left(token, F.lit(1)).between("A", "Z"), 1.3).otherwise(0.0)
     return (
-        F.when(is_numeric(token), 3.0)
+        F.when(_is_figure(token) | low.isin(*NUMERALS), 3.0)
         .when(low.isin(*STOPWORDS), 0.12)
-        .when(token.rlike(r"[\x{80}-\x{10FFFF}]"), 0.5)
+        .when(F.octet_length(token) != F.char_length(token), 0.5)
         .otherwise(1.0 + 0.06 * F.least(F.lit(12), F.octet_length(token)) + proper)
     )
 
 
+def weights(text: Column, most: int | None = MOST_TOKENS) -> Column:
+    """The weights of a text's tokens in order; ``most`` is the score's cap, None reads all."""
+    opens = F.coalesce(text.rlike(r"^[A-Za-z0-9]"), F.lit(False))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)) if most is None else tokens(text, most)
+    both = F.transform(found, lambda t: F.struct(t.alias("t"), _bare(t).alias("low")))
+    return F.transform(both, lambda x, i: weight_of(x["t"], x["low"], (i == 0) & opens))
+
+
 def scale(token: Column) -> Column:
     """The power of ten that a scale word, or a suffix on a figure, stands for."""
     low = ascii_lower(token)

@@ -54,11 +54,11 @@ WITH t AS ({_tokens_sql('documents', 'doc_id', 'text', '')})
 SELECT doc_id, count(*) AS n, round(CAST(sum(weight) AS DOUBLE), 4) AS total, count(*) FILTER (WHERE weight > 0.5) AS content, count(*) FILTER (WHERE numeric) AS figures FROM t GROUP BY doc_id""")
 def token_weights(spark, sf_dir):
     """Whole texts: the score's cap on tokens does not apply."""
-    read = table(spark, sf_dir, "documents").select("doc_id", P.token_array(F.col("text"), None).alias("t")).where(F.size("t") > 0)
-    count = lambda test: F.size(F.filter("t", test)).cast("bigint")
+    read = table(spark, sf_dir, "documents").select("doc_id", X.weights(F.col("text"), None).alias("w")).where(F.size("w") > 0)
+    count = lambda test: F.size(F.filter("w", test)).cast("bigint")
     return read.select(
-        "doc_id", F.size("t").cast("bigint").alias("n"), F.round(F.aggregate("t", F.lit(0.0), lambda a, t: a + t["weight"]), 4).alias("total"),
-        count(lambda t: t["weight"] > 0.5).alias("content"), count(lambda t: t["numeric"]).alias("figures"),
+        "doc_id", F.size("w").cast("bigint").alias("n"), F.round(F.aggregate("w", F.lit(0.0), lambda a, w: a + w), 4).alias("total"),
+        count(lambda w: w > 0.5).alias("content"), count(lambda w: w == 3.0).alias("figures"),
     )
 
 
