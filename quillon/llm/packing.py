@@ -40,15 +40,15 @@ from quillon.session import table
 
 TIERS = (1024, 512, 256, 128)
 #: Tokens of the documents that are packed together, at most by one document more.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Tokens of a step group.
 STEP_TOKENS = 16_384
 END = (0).to_bytes(4, "little")
 #: Bytes of pieces and their ids that a Python worker keeps.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 144 << 20
 #: Characters of texts, and pieces, that are encoded at a time: the library's own results are many times larger.
-ENCODE_CHARACTERS = 1 << 20
-ASK_PIECES = 4096
+ENCODE_CHARACTERS = 4 << 20
+ASK_PIECES = 16_384
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint,"
@@ -301,7 +301,7 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(",")]
 _TYPES = [{"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[x.split()[1]] for x in SCHEMA.split(",")]
 
 
-def _rows(pieces: Iterator[tuple], most: int = 8192) -> Iterator[pa.RecordBatch]:
+def _rows(pieces: Iterator[tuple], most: int = 2048) -> Iterator[pa.RecordBatch]:
     rows = []
     for piece in pieces:
         rows.append(piece)
