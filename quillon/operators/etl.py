@@ -53,3 +53,45 @@ REGISTRY = (
     "MAP<STRING, STRUCT<champion STRUCT<registration_id INT, eval_score DOUBLE>, entries ARRAY<STRUCT<registration_id INT, rank INT, activation_status STRING,"
     " eval_score DOUBLE, rejection_reason STRING>>>>"
 )
+
+
+def with_prefix_if_any(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Only rows whose column has the prefix, if any row has it; else all rows."""
+    marked = F.col(column).startswith(prefix)
+    some = df.agg(F.coalesce(F.bool_or(marked), F.lit(False)).alias("_some"))
+    return df.join(F.broadcast(some), F.coalesce(marked, F.lit(False)) | ~F.col("_some")).drop("_some")
+
+
+def without_suffix(df: DataFrame, suffix: str) -> DataFrame:
+    """Without the helper columns, known by their suffix."""
+    return df.drop(*(c for c in df.columns if c.endswith(suffix)))
+
+
+def ledger_row(df: DataFrame, name: str, lat: str, lon: str, factor: int = 10_000) -> DataFrame:
+    """The place and its coordinates as whole numbers, scaled and cut towards zero."""
+    return df.select(F.col(name).alias("location"), *((F.col(c) * factor).cast("int").alias(n) for c, n in ((lat, "latitude_e4"), (lon, "longitude_e4"))))
+
+
+SCRAPE_WORDS = ("failed", "rejected", "agreement", "margin", "eval")
+_SHARE = r"(0?\.\d+|1(?:\.0+)?)"
+
+
+def scraped_records(text: Column) -> Column:
+    """Records of a page's text, one per line that speaks of an evaluation: line (from 1), margin, agreement, numbers and the line."""
+    lines = F.filter(F.transform(F.split(text, r"[\n\r]+"), F.trim), lambda x: x != "")
+
+    def number(line: Column, pattern: str) -> Column:
+        return F.regexp_extract(line, pattern, 1).try_cast("double")
+
+    def record(line: Column, i: Column) -> Column:
+        return F.struct(
+            (i + 1).alias("line"),
+            number(line, rf"(?i)(?:margin|eval(?:uation)?|separation)\s*[:=]?\s*{_SHARE}").alias("margin"),
+            number(line, r"(?i)agreement\s*[:=]?\s*(-?0?\.\d+|-?1(?:\.0+)?)").alias("agreement"),
+            F.transform(F.regexp_extract_all(line, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.cast("double")).alias("numbers"),
+            line.alias("text"),
+        )
+
+    said = lambda r: F.lower(r["text"]).rlike("|".join(SCRAPE_WORDS))
+    return F.filter(F.transform(lines, record), said)
+

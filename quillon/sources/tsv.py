@@ -62,7 +62,8 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 
 def with_champion(traffic: DataFrame, champion: DataFrame) -> DataFrame:
     """Each traffic row with its champion's score, the first one of an id; an id without a score is an error."""
-    first = champion.groupBy("id").agg(F.first("score").alias("score"))
+    in_order = champion.withColumn("_line", F.monotonically_increasing_id())  # by file and place, before anything is shuffled
+    first = in_order.groupBy("id").agg(F.min_by("score", "_line").alias("score"))
     joined = traffic.join(first, "id", "left")
     missing = F.raise_error(F.concat(F.lit("no champion score for "), F.col("id"))).cast("double")
     return joined.withColumn("score", F.when(F.col("score").isNotNull(), F.col("score")).otherwise(missing))
