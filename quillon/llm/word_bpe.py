@@ -13,7 +13,7 @@ import os
 import re
 
 #: Bytes of pieces and words kept per Python worker; beyond this they are forgotten and worked out again.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 192 << 20
 
 #: A word and the signs after it, which the pattern always parts; normalization only lower-cases these letters.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
