@@ -87,7 +87,7 @@ def _note(where, active, merges, pair, position) -> None:
 class Codec:
     """Ids (little-endian unsigned 32-bit) and decoded bytes of the pieces met so far.
 
-    Pieces and words are forgotten when they take more than ``word_bpe.CACHE_BYTES``; long ones go after their batch.
+    Pieces and words are forgotten when ids and decoded text take more than ``word_bpe.CACHE_BYTES`` each; long ones go after their batch.
     """
 
     def __init__(self, bpe: word_bpe.WordBpe):
@@ -114,7 +114,7 @@ class Codec:
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode the pieces that are not yet known, all their new words at once."""
-        if self.held > word_bpe.CACHE_BYTES:
+        if self.held > 2 * word_bpe.CACHE_BYTES:
             self.forget()
         cut = {p: self.bpe.words(p) for p in pieces if p not in self.ids}
         new = list({w for words in cut.values() for w in words if w not in self.words})
