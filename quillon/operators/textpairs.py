@@ -82,7 +82,8 @@ CLAUSE_END = r"(?:[;!?:]|(?<![0-9])[,.]|[,.](?![0-9]))+"
 def negated(df: DataFrame, key: str, text: str, reach: int = 4) -> DataFrame:
     """Tokens within the reach of a negator in their own clause: one row per token with its mark."""
     clauses = df.select(key, F.posexplode(F.split(F.col(text), CLAUSE_END)).alias("clause", "part"))
-    rows = clauses.select(key, "clause", F.posexplode(X.tokens(F.col("part"))).alias("pos", "token")).withColumn("word", X.normal_form(F.col("token")))
+    whole = F.regexp_extract_all(F.coalesce("part", F.lit("")), F.lit(X.TOKEN), F.lit(0))
+    rows = clauses.select(key, "clause", F.posexplode(whole).alias("pos", "token")).withColumn("word", X.normal_form(F.col("token")))
     near = Window.partitionBy(key, "clause").orderBy("pos").rowsBetween(-reach, -1)
     return rows.withColumn("negated", F.coalesce(F.max(X.is_negator(F.col("token"))).over(near), F.lit(False)))
 

@@ -200,11 +200,11 @@ def signal_gate(spark, sf_dir):
 @register("figure_values", rf"""
 WITH f AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{X.FIGURE}')) AS m FROM documents),
 v AS (SELECT doc_id, CAST(replace(regexp_extract(m, '^[0-9][0-9,]*(?:\.[0-9]+)?'), ',', '') AS DOUBLE) AS n, {_LOW("regexp_extract(m, '([A-Za-z]*)$', 1)")} AS s FROM f)
-SELECT doc_id, count(*) AS figures, round(max(n * CASE s {" ".join(f"WHEN '{w}' THEN 1e{p}" for w, p in SCALES.items())} ELSE 1 END), 4) AS largest, count(*) FILTER (WHERE s IN {_IN(SCALES)}) AS scaled FROM v GROUP BY doc_id""")
+SELECT doc_id, count(*) AS figures, max(n * CASE s {" ".join(f"WHEN '{w}' THEN 1e{p}" for w, p in SCALES.items())} ELSE 1e0 END) AS largest, count(*) FILTER (WHERE s IN {_IN(SCALES)}) AS scaled FROM v GROUP BY doc_id""")
 def figure_values(spark, sf_dir):
     """Figures of each document with their scale words applied."""
     read = table(spark, sf_dir, "documents").select("doc_id", X.figure_values(F.col("text")).alias("v")).where(F.size("v") > 0)
-    return read.select("doc_id", F.size("v").cast("bigint").alias("figures"), F.round(F.array_max(F.transform("v", lambda v: v["value"])), 4).alias("largest"), F.size(F.filter("v", lambda v: v["scale"] > 0)).cast("bigint").alias("scaled"))
+    return read.select("doc_id", F.size("v").cast("bigint").alias("figures"), F.array_max(F.transform("v", lambda v: v["value"])).alias("largest"), F.size(F.filter("v", lambda v: v["scale"] > 0)).cast("bigint").alias("scaled"))
 
 
 @register("close_figures", """
