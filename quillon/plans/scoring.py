@@ -40,14 +40,14 @@ def tie_slots(spark, sf_dir):
 
 @register("acronym_bridge")
 def acronym_bridge(spark, sf_dir):
-    """Whole documents, their words capitalised, against the capitals of each three words of theirs."""
+    """Whole turns of conversations, their words capitalised, against the capitals of each three words of theirs."""
     ship_package(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "").alias("w"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "").alias("w"))
     first = F.transform("w", lambda x: F.upper(F.left(x, F.lit(1))))
-    capitals = docs.select("doc_id", F.initcap(F.array_join("w", " ")).alias("truth"), first.alias("c"))
+    capitals = turns.select("conv_id", "turn", F.initcap(F.array_join("w", " ")).alias("truth"), first.alias("c"))
     three = F.transform("c", lambda c, i: F.concat_ws("", c, F.get("c", i + 1), F.get("c", i + 2)))
-    named = capitals.select("doc_id", "truth", F.array_join(three, " ").alias("answer"), F.lit("").alias("question"))
-    return scoring.score_pairs(named, "question", "truth", "answer").select("doc_id", F.round("raw", 6).alias("raw"))
+    named = capitals.select("conv_id", "turn", "truth", F.array_join(three, " ").alias("answer"), F.lit("").alias("question"))
+    return scoring.score_pairs(named, "question", "truth", "answer").select("conv_id", "turn", F.round("raw", 6).alias("raw"))
 
 
 @register("breakdown_answer")
