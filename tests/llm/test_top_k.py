@@ -75,3 +75,25 @@ def test_blocks_out_of_reach_are_left_out(spark):
     """Needs and lengths: what a query does not reach is never scored, and the answer stays exact."""
     need = top_k.need_of(top_k.np.array([10.0, -1.0, 5.0, float("-inf")]), top_k.np.array([2.0, 2.0, 0.0, 1.0]))
     assert need[0] == pytest.approx(5) and need[1] == need[3] == float("-inf") and need[2] == float("inf")
+
+
+def test_no_row_holds_a_block_and_queries_go_out_in_rounds(spark, monkeypatch):
+    """What is written between the steps are single vectors, whatever the size of the table; several rounds give the same rows."""
+    monkeypatch.setattr(top_k, "ROUND_BYTES", 8 * 20 * 4, raising=False)
+    widest = []
+
+    class Watched(top_k.Scratch):
+        def keep(self, df):
+            kept = super().keep(df)
+            for name, kind in kept.dtypes:
+                if kind == "binary" or kind.startswith("array"):
+                    size = top_k.F.octet_length(name) if kind == "binary" else 8 * top_k.F.size(name)
+                    widest.append(kept.agg(top_k.F.max(size)).first()[0] or 0)
+            return kept
+
+    monkeypatch.setattr(top_k, "Scratch", Watched)
+    rng = random.Random(8)
+    rows = [(i, [struct_float(rng.gauss(0, 1) * (0.2 + i % 3)) for _ in range(20)]) for i in range(1100)]
+    rows += [(1100 + i, [struct_float(1.25)] * 20) for i in range(200)]
+    assert run(spark, rows) == brute(rows)
+    assert max(widest) == 8 * 20
