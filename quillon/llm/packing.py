@@ -12,7 +12,8 @@ next block), so nothing is shuffled, no task sees more than its partition, and a
 partition gives the same windows.
 
 The tokenizer's pieces are cut at single spaces between non-spaces, where the pre-tokenizer's pattern always starts a new
-token, and the ids of a piece are kept for the next time it is met.
+token, and the ids of a piece are kept for the next time it is met. New pieces of letters alone are encoded many at a time, as
+words of one text, which is cut again where an id begins with a space.
 
 Defined cases: a null text counts as empty (the end id alone); special strings in a text become their ids; repeated rows and
 null or repeated ids are packed row by row; an empty table gives an empty result; other columns are ignored. Texts of any
@@ -27,8 +28,9 @@ from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,8 @@ CACHE_BYTES = 144 << 20
 #: Characters of texts, and pieces, that are encoded at a time: the library's own results are many times larger.
 ENCODE_CHARACTERS = 4 << 20
 ASK_PIECES = 16_384
+#: Words that are encoded as one text.
+ASK_WORDS = 64
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint,"
@@ -81,6 +85,10 @@ class PieceIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(True)
+        #: Whether an id begins with a space; byte-level files write Ġ for it.
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
@@ -107,10 +115,30 @@ class PieceIds:
             for p, x in zip(part, got, strict=True):
                 self._keep(kept, p, array("I", x.ids).tobytes())
 
+    def _ask_words(self, kept: dict[str, bytes], words: list[str]) -> None:
+        """_ask() with a space before each, for words of letters alone."""
+        for at in range(0, len(words), ASK_PIECES):
+            part = words[at : at + ASK_PIECES]
+            groups = [part[i : i + ASK_WORDS] for i in range(0, len(part), ASK_WORDS)]
+            got = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+            for g, x in zip(groups, got, strict=True):
+                ids = array("I", x.ids).tobytes()
+                starts = np.flatnonzero(self.spaced[np.frombuffer(ids, np.uint32)])
+                if len(starts) != len(g) or starts[0]:
+                    self._ask(kept, " ", g)
+                    continue
+                kept.update(zip(g, [ids[a:b] for a, b in pairwise([*(4 * starts).tolist(), len(ids)])], strict=True))
+                self.held += sum(map(entry_bytes, g)) + len(ids)
+
     def _learn(self, kept: dict[str, bytes], lead: str, pieces: set[str]) -> None:
-        """Only the first part of a plain piece has the space before it."""
+        """Only the first part of a plain piece has the lead, a space, before it."""
+        new = pieces.difference(kept)
         whole, parted, bare = set(), [], set()
-        for p in pieces.difference(kept):
+        if lead:
+            words = [p for p in new if p.isalpha() and len(p) <= LONGEST_KEPT]
+            self._ask_words(kept, words)
+            new.difference_update(words)
+        for p in new:
             if _PLAIN.fullmatch(p) and _SPECIAL not in p and len(parts := _PART.findall(p)) > 1:
                 parted.append((p, parts))
                 whole.add(parts[0])

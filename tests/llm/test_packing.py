@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -89,3 +90,26 @@ def test_blocks_leave_one_tail(blocks):
     verify([Row(*r) for r in rows], {d.doc_id: np.frombuffer(d.ids, "<u4").tolist() for d in docs})
     assert sum(r[2] for r in rows) == sum(d.tokens for d in docs)
     assert zlib.crc32(docs[0].ids) == zlib.crc32(b"".join(r[3] for r in sorted((r for r in rows if r[0] == 0), key=lambda r: r[1])))
+
+
+def test_new_words_are_asked_for_many_at_a_time():
+    rng = random.Random(4)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "ABCDEÀÉÖßñø", "абвгдежз", "漢字仮名交文", "ءآأب", "ªºʰⅰ𝒜", "é"]
+    words = ["".join(rng.choice(s) for _ in range(rng.randint(1, 12))) for s in letters for _ in range(150)] + ["x" * 300, "don't", "Ġ", "ĠĠa", "a1"]
+    rng.shuffle(words)
+    texts = [" ".join(words[i : i + 90]) + end for i, end in zip(range(0, len(words), 90), ["", "\n", " ", "  a b", " \n c"] * 9)]
+    encoder = packing.PieceIds(packing.default_path())
+    library, asked = encoder.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, parts, **options):
+            asked.extend(parts)
+            return library.encode_batch_fast(parts, **options)
+
+    encoder.tokenizer = Counted()
+    got = encoder.encode(texts)
+    assert got == [packing.array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert len(asked) < len(set(words)) / 4
+    encoder.forget()
+    encoder.spaced[:] = False  # ids that don't show where words begin
+    assert encoder.encode(texts) == got
