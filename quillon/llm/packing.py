@@ -48,8 +48,8 @@ STEP_TOKENS = 16_384
 END = (0).to_bytes(4, "little")
 #: Bytes of pieces and their ids that a Python worker keeps.
 CACHE_BYTES = 144 << 20
-#: Characters of texts, and pieces, that are encoded at a time: the library's own results are many times larger.
-ENCODE_CHARACTERS = 4 << 20
+#: Characters of texts, and pieces, that are encoded at a time: cut texts and the library's own results are many times larger.
+ENCODE_CHARACTERS = 256 << 10
 ASK_PIECES = 16_384
 #: Words that are encoded as one text.
 ASK_WORDS = 64

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -113,3 +114,16 @@ def test_new_words_are_asked_for_many_at_a_time():
     encoder.forget()
     encoder.spaced[:] = False  # ids that don't show where words begin
     assert encoder.encode(texts) == got
+
+
+def test_a_batch_of_texts_is_not_cut_all_at_once():
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(words[(i * j) % 500] for j in range(12_000)) for i in range(1, 71)]
+    assert sum(map(len, texts)) < 4 << 20
+    encoder = packing.PieceIds(packing.default_path())
+    encoder.encode([" ".join(words)])
+    tracemalloc.start()
+    got = encoder.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < sum(map(len, got)) + (24 << 20)
