@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from quillon.llm import packing, quality, secret_scan, shingle_join
 from quillon.session import checkpoint_folder, delete_folder, table
 
+#: Bytes of pieces that a Python worker keeps in packing: the stages before have grown the executor's JVM to its full heap.
+PACKING_CACHE = 64 << 20
+
 
 def _by_position(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """The same rows with columns named c0, c1 and so on, and the names of the id and the text among them."""
@@ -76,7 +79,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a sequence; an empty text is its end id alone."""
     df, doc_id, text = _by_position(docs)
-    return packing.digest(packing.pack(df, doc_id, text))
+    return packing.digest(packing.pack(df, doc_id, text, cache_bytes=PACKING_CACHE))
 
 
 STAGES = [

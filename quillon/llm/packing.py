@@ -77,10 +77,10 @@ def default_path() -> str:
 class PieceIds:
     """Ids (little-endian unsigned 32-bit) of the pieces of texts, by a byte-level tokenizer file of the library.
 
-    Pieces are forgotten, all together, when they take more than ``CACHE_BYTES``; long ones are never kept beyond their batch.
+    Pieces are forgotten, all together, when they take more than ``cache_bytes``; long ones are never kept beyond their batch.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -94,6 +94,7 @@ class PieceIds:
         self.bare: dict[str, bytes] = {}
         self.long: list[tuple[dict[str, bytes], str]] = []
         self.held = 0
+        self.cache_bytes = cache_bytes
 
     def forget(self) -> None:
         for kept in (self.first, self.later, self.bare):
@@ -162,7 +163,7 @@ class PieceIds:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if self.held > CACHE_BYTES:
+        if self.held > self.cache_bytes:
             self.forget()
         cut = [_INNER_SPACE.split(t) if _TWO_SPACES.search(t) else t.split(" ") for t in texts]
         first = [x[0] for x in cut]
@@ -317,11 +318,12 @@ def _forget() -> None:
     _ENCODERS.clear()
 
 
-def encoder_of(path: str) -> PieceIds:
+def encoder_of(path: str, cache_bytes: int = CACHE_BYTES) -> PieceIds:
     """One encoder per Python worker: workers import this module, so what it holds outlives a task."""
     claim("packing", _forget)
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceIds(path)
+    _ENCODERS[path].cache_bytes = cache_bytes
     return _ENCODERS[path]
 
 
@@ -345,13 +347,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pack(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, tiers: tuple[int, ...] = TIERS
+    df: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    path: str | None = None,
+    tiers: tuple[int, ...] = TIERS,
+    cache_bytes: int = CACHE_BYTES,
 ) -> DataFrame:
-    """One row per piece of a document in a sequence; sequences are full windows of a tier or a power of two."""
+    """One row per piece of a document in a sequence; sequences are full windows of a tier or a power of two.
+
+    ``cache_bytes`` bounds the pieces that a Python worker keeps; it never changes a result.
+    """
     path = path or default_path()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+        encoder = encoder_of(path, cache_bytes)
         packer = Packer(TaskContext.get().partitionId() << 40, tiers)
         block, tokens = [], 0
         for batch in batches:

@@ -127,3 +127,14 @@ def test_a_batch_of_texts_is_not_cut_all_at_once():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < sum(map(len, got)) + (24 << 20)
+
+
+def test_kept_pieces_are_bounded_by_the_caller(spark):
+    texts = [" ".join(f"{w}{i}x" for w in range(4000)) for i in range(30)]
+    small, large = packing.PieceIds(packing.default_path(), 1 << 20), packing.PieceIds(packing.default_path())
+    for text in texts:
+        assert small.encode([text]) == large.encode([text])
+        assert small.held < 3 << 20
+    assert large.held > 20 << 20
+    df = spark.createDataFrame(list(enumerate(texts[:4])), "doc_id long, text string").coalesce(1)
+    assert packing.pack(df, cache_bytes=1).collect() == packing.pack(df).collect()
