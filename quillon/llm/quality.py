@@ -6,8 +6,8 @@ never in it). From its whole texts come the ``VOCABULARY`` most widespread words
 sum of the sparse random index vectors of its neighbours, normalised, plus its own index vector. A document's words
 and shapes are pooled to mean vectors, with three pooled scalars (how concentrated the words are, how often a word repeats its
 neighbour, how many words there are). The network has one hidden layer; a fifth of the sample is kept
-from its training to fit the temperature. What reaches the driver is bounded by ``FIT_ROWS`` feature rows and ``FIT_PARTS``
-vocabulary-sized sums; what is broadcast is bounded by the vocabulary.
+from its training to fit the temperature. What reaches the driver is bounded by ``FIT_ROWS`` feature rows and one
+vocabulary-sized sum, in rows of ``SUM_ROWS`` vectors; what is broadcast is bounded by the vocabulary.
 
 Scores read the text alone. Defined cases: a null or empty text has zero vectors and gets the score of those; a null id is
 held out; repeated labels of an id count as their mean, rounded up at one half; null labels are ignored; without
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from quillon.session import durable, table, tidy
 
 FIT_ROWS = 6_000
 FIT_PARTS = 4
+#: Vectors in a row of sums (64 KB): the driver's JVM copies a row several times, and rows of megabytes would make its heap grow.
+SUM_ROWS = 128
 VOCABULARY = 16_384
 DIMENSIONS = 128
 NONZERO = 8
@@ -254,12 +257,22 @@ def _context(sample: DataFrame, tokens: list[str], own: np.ndarray) -> np.ndarra
             found = [np.where(y < OUTSIDE, y, 0) for t in batch.column(0).to_pylist() for y in ids.of(t)]
             if found:
                 add_context(total, found, own)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f4").tobytes()], pa.binary())], ["sums"])
+        part = TaskContext.get().partitionId()
+        for at in range(0, len(total), SUM_ROWS):
+            sums = total[at : at + SUM_ROWS].astype("<f4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part], pa.int32()), pa.array([sums], pa.binary())], ["at", "part", "sums"])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [sum(np.frombuffer(p["sums"], "<f4") for p in parts).astype("<f4").tobytes() for parts in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["at", "sums"])
+
+    # Few tasks, each with one vocabulary-sized sum, whatever the number of partitions of the sample; added up on the executors.
+    parts = map_batches(sample.select("text").coalesce(FIT_PARTS), work, "at int, part int, sums binary")
+    beside = parts.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("part", "sums"))).alias("parts"))
     total = np.zeros_like(own)
-    # Few tasks, each with one vocabulary-sized sum, whatever the number of partitions of the sample.
-    for row in map_batches(sample.select("text").coalesce(FIT_PARTS), work, "sums binary").collect():
-        total += np.frombuffer(bytes(row.sums), "<f4").reshape(total.shape)
+    for row in map_batches(beside, add, "at int, sums binary").collect():
+        total[row["at"] : row["at"] + SUM_ROWS] = np.frombuffer(bytes(row.sums), "<f4").reshape(-1, own.shape[1])
     sent.destroy()
     return total
 

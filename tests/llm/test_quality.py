@@ -55,3 +55,24 @@ def test_temperature_calibrates():
     logit = rng.normal(0, 2, 4000)
     y = (rng.random(4000) < quality.sigmoid(logit)).astype(float)
     assert 2.5 < quality.fit_temperature(3 * logit, y) < 3.6
+
+
+def test_sums_reach_the_driver_once_and_in_small_rows(spark, monkeypatch):
+    texts = [t for _, t, *_ in corpus(240)[0]]
+    sample = spark.createDataFrame([(t,) for t in texts], "text string").repartition(quality.FIT_PARTS)
+    words = {w for t in texts for w in t.split()}
+    tokens = sorted(words | {quality.shape(w) for w in words} | {f"unused{i}" for i in range(300)})
+    own = np.concatenate([np.zeros((1, quality.DIMENSIONS), np.float32), quality.index_vectors(tokens)])
+    taken, collect = [], type(sample).collect
+
+    def seen(df):
+        rows = collect(df)
+        taken.extend(len(r.sums) for r in rows)
+        return rows
+
+    monkeypatch.setattr(type(sample), "collect", seen)
+    got = quality._context(sample, tokens, own)
+    want, ids = np.zeros(own.shape), quality.TokenIds(tokens)
+    quality.add_context(want, [x for t in texts for x in ids.of(t)], own)
+    assert np.abs(want).max() > 1 and np.allclose(got, want, rtol=1e-4, atol=1e-3)
+    assert sum(taken) == own.nbytes and max(taken) <= 1 << 16
