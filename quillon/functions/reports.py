@@ -43,7 +43,8 @@ def _values(rows: Column, of) -> Column:
 
 
 def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    """The sum of figures in tenths, to six decimals: ten times 0.1 is 1, not a little less."""
+    return F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
 
 
 def _if(test: Column, *parts) -> Column:

@@ -126,3 +126,11 @@ def test_forecast_answers(spark):
     empty = hours(spark, []).select(r.alias("r"))
     assert empty.select(R.hourly_text(F.lit("X"), F.col("r"), F.lit(2), F.array().cast("array<string>"), F.lit(""))).first()[0] == "X forecast: no forecast data was returned"
     assert spark.range(1).select(R.condition_sky(F.lit(0)), R.condition_sky(F.lit(2)), R.condition_sky(F.lit(45))).first()[:] == ("clear skies", "partly cloudy skies", "fog")
+
+
+def test_total_of_tenths(spark):
+    # Ten tenths add up to 0.9999999999999999 in doubles; the total is 1 mm, which is not minimal.
+    none = F.lit(None).cast("string")
+    row = F.struct(F.lit("2026-08-26T10:00Z").alias("time"), F.lit(20.0).alias("temp_c"), F.lit(0.1).alias("precip_mm"), F.lit("clear").alias("conditions"))
+    got = one(spark, n=R.window_text(F.lit("Tokyo"), F.array_repeat(row, 10), F.lit(24), none, none)).n
+    assert got.endswith(". Total precipitation is expected to reach 1mm.")
