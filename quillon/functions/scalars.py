@@ -34,6 +34,11 @@ def to_fixed1(x: Column) -> Column:
     return F.regexp_replace(F.format_number(F.when(tie, away).otherwise(x), 1), ",", "")
 
 
+def fixed(x: Column, places: int) -> Column:
+    """So many decimals as text, by the exact binary value, as C prints it; format_string rounds the shortest decimal instead."""
+    return F.replace(F.format_number(x, places), F.lit(","), F.lit(""))
+
+
 def compass_point(degrees: Column) -> Column:
     """The nearest of the sixteen points; any angle, negative ones too."""
     at = F.pmod(F.floor((degrees + 11.25) / 22.5).cast("int"), F.lit(16))

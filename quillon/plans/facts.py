@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import facts as X
+from quillon.functions import scalars as S
 from quillon.plans.catalogue import register
 from quillon.session import ship_package, table
 
@@ -88,7 +89,7 @@ def coord_mismatch(spark, sf_dir):
     """Whether two reports' coordinates are more than 0.2 degrees apart, at the boundary by the figures as written."""
     ship_package(spark)
     lat, off = F.col("c_acctbal") / 200, F.col("c_custkey") % 5 / 10.0
-    text = lambda x: F.concat(F.lit("at coordinates "), F.format_string("%.2f", x), F.lit(", 10.50 now"))
+    text = lambda x: F.concat(F.lit("at coordinates "), S.fixed(x, 2), F.lit(", 10.50 now"))
     return table(spark, sf_dir, "customer").select("c_custkey", X.far_coordinates(text(lat), text(lat + off)).alias("far"))
 
 

@@ -1,6 +1,7 @@
 """Typed facts in both lanes against literal results."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.functions import facts as X
 from quillon.functions import projection, scoring
@@ -115,3 +116,18 @@ def test_projection_by_hand():
     length = sum(x * x for x in out) ** 0.5
     assert projection.project("Rain, OSLO_2!") == pytest.approx([x / length for x in out])
     assert not projection.project("").any() and projection.equal_words("Rain, now", "rain NOW!") and not projection.equal_words("a b", "b a")
+
+
+def test_coordinates_as_printed(spark, tmp_path):
+    # 0.345 lies below the half in binary and prints as 0.34; 0.125 is a true tie and prints as 0.12.
+    from quillon.functions import scalars
+    from quillon.plans.catalogue import QUERIES
+
+    lat = [(0.345,), (0.125,), (-0.125,), (-0.001,), (1234.5,)]
+    got = [r.x for r in spark.createDataFrame(lat, "v double").select(scalars.fixed(F.col("v"), 2).alias("x")).collect()]
+    assert got == ["%.2f" % v for v, in lat]
+    balances = [69.0, 25.0, 9000.0, 55.0]
+    spark.createDataFrame([(2 + 5 * i, b) for i, b in enumerate(balances)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = {r.c_custkey: r.far for r in QUERIES["coord_mismatch"](spark, str(tmp_path)).collect()}
+    written = lambda x: float("%.2f" % x)
+    assert rows == {2 + 5 * i: abs(written(b / 200) - written(b / 200 + 0.2)) > 0.2 for i, b in enumerate(balances)}
