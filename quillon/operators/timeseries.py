@@ -78,27 +78,28 @@ def nearest_rows(grid: DataFrame, rows: DataFrame, grid_ts: str, ts: str, order:
     blocks of ``BLOCK_HOURS``, whose own ends form a table of a few rows. No task sees more than an hour's rows or a block's hours.
     """
     named = rows.select(F.col(ts).alias("t"), F.struct(F.col(ts).alias("t"), *(F.col(c) for c in rows.columns if c != ts)).alias("row"), F.col(order).alias("o"))
+    # Of rows that share a time the least in order counts; from here on a time has one row.
+    named = named.where("t IS NOT NULL").groupBy("t").agg(F.min(F.struct("o", "row"))["row"].alias("row"))
     asked = grid.select(F.col(grid_ts).alias("t"))
     hour = F.floor(F.unix_micros(F.col("t").cast("timestamp")) / 3_600_000_000)
-    both = named.select("t", "row", "o").unionByName(asked, allowMissingColumns=True).withColumn("hour", hour)
-    per_hour = Window.partitionBy("hour").orderBy("t", F.col("row").isNull().cast("int"), "o")
-    back, ahead = per_hour.rowsBetween(Window.unboundedPreceding, 0), per_hour.rowsBetween(0, Window.unboundedFollowing)
-    firsts = named.groupBy(hour.alias("hour")).agg(F.min(F.struct("t", "o", "row")).alias("first"), F.max(F.struct("t", (-F.col("o")).alias("o"), "row")).alias("last"))
+    both = named.select("t", "row").unionByName(asked, allowMissingColumns=True).withColumn("hour", hour)
+    # A frame that ends at the partition's end is read anew for each row; looking back in reverse order reads each row once.
+    upto = lambda t: F.last("row", ignorenulls=True).over(Window.partitionBy("hour").orderBy(t, F.col("row").isNull().cast("int")).rowsBetween(Window.unboundedPreceding, 0))
+    firsts = named.groupBy(hour.alias("hour")).agg(F.min(F.struct("t", "row")).alias("first"), F.max(F.struct("t", "row")).alias("last"))
     hours = asked.select(hour.alias("hour")).distinct().join(firsts, "hour", "full").withColumn("block", F.floor(F.col("hour") / BLOCK_HOURS))
     blocks = hours.groupBy("block").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    near = lambda w, first, last: (F.last(last, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first(first, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    before_block, after_block = near(Window.orderBy("block"), "first", "last")
-    outside = blocks.select("block", before_block.alias("before_block"), after_block.alias("after_block"))
-    before, after = near(Window.partitionBy("block").orderBy("hour"), "first", "last")
+    last = lambda name, w: F.last(name, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    outside = blocks.select("block", last("last", Window.orderBy("block")).alias("before_block"), last("first", Window.orderBy(F.desc("block"))).alias("after_block"))
+    per_block = Window.partitionBy("block")
     ends = (
-        hours.withColumn("before", before)
-        .withColumn("after", after)
+        hours.withColumn("before", last("last", per_block.orderBy("hour")))
+        .withColumn("after", last("first", per_block.orderBy(F.desc("hour"))))
         .join(outside, "block")
         .select("hour", F.coalesce("before", "before_block").alias("before"), F.coalesce("after", "after_block").alias("after"))
     )
     found = (
-        both.withColumn("prev", F.last("row", ignorenulls=True).over(back))
-        .withColumn("next", F.first("row", ignorenulls=True).over(ahead))
+        both.withColumn("prev", upto(F.col("t")))
+        .withColumn("next", upto(F.desc("t")))
         .where(F.col("row").isNull())
         .join(ends, "hour", "left")
         .withColumn("prev", F.coalesce("prev", "before.row"))
@@ -106,11 +107,8 @@ def nearest_rows(grid: DataFrame, rows: DataFrame, grid_ts: str, ts: str, order:
     )
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     ahead_by, back_by = micros("next.t") - micros("t"), micros("t") - micros("prev.t")
-    # The last row before may share its time with others; the least of them in order counts.
-    ties = named.groupBy("t").agg(F.min(F.struct("o", "row")).alias("least"))
-    chosen = found.withColumn("row", F.when(F.col("prev").isNull() | (ahead_by < back_by), F.col("next")).otherwise(F.col("prev")))
-    picked = chosen.select(F.col("t").alias(grid_ts), F.col("row.t").alias("t")).join(ties, "t", "left")
-    return picked.select(grid_ts, F.col("least.row").alias("row"))
+    nearer = F.when(F.col("prev").isNull() | (ahead_by < back_by), F.col("next")).otherwise(F.col("prev"))
+    return found.select(F.col("t").alias(grid_ts), nearer.alias("row"))
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap_minutes: int) -> DataFrame:
