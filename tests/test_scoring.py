@@ -69,3 +69,33 @@ def test_clauses_keep_figures_whole_and_overlap_uses_the_question(spark):
     assert [(v.value, v.scale) for v in values] == [(2020.0, 0), (1500_000.0, 3), (3_000_000.0, 6), (7.0, 0), (9.0, 0)]
     named = found.select(P.entity_figures(F.col("t")).alias("f")).first().f
     assert [(f.figure, f.entity) for f in named] == [("2020", "In"), ("1,500", "Oslo"), ("3", "Rome"), ("7", "Rome")]
+
+
+def test_bridges():
+    """Against every pair of tokens; 2,048 acronyms cost no more than their number."""
+    import random
+    import re
+    import time
+
+    def every_pair(a, b):
+        content = [i for i in range(len(b.word)) if b.weight[i] > 0.5]
+        ours, theirs = set(), set()
+        for i, token in enumerate(a.raw):
+            if re.fullmatch(rb"[A-Z]{2,4}", token):
+                key = token.lower()
+                named = {j for j, w in enumerate(b.raw) if w[:1].isupper() and len(w) > len(key) and w.lower().startswith(key)}
+                runs = [content[x : x + len(key)] for x in range(len(content) - len(key) + 1)]
+                found = named | {j for run in runs if bytes(b.raw[j].lower()[0] for j in run) == key for j in run}
+                ours |= {i} if found else set()
+                theirs |= found
+        return ours, theirs
+
+    draw = random.Random(5)
+    word = lambda: draw.choice([str.lower, str.upper, str.title])("".join(draw.choice("abé1") for _ in range(draw.randint(1, 5))))
+    for _ in range(300):
+        a, b = (S.read_tokens(" ".join(word() for _ in range(draw.randint(0, 12))).encode()) for _ in range(2))
+        assert S.bridged(a, b) == every_pair(a, b)
+    many = S.read_tokens(b" ".join(bytes([65 + i % 26, 65 + i // 26 % 26, 65 + i % 7]) for i in range(2048)))
+    start = time.process_time()
+    S.bridged(many, many)
+    assert time.process_time() - start < 0.5
