@@ -131,3 +131,13 @@ def test_coordinates_as_printed(spark, tmp_path):
     rows = {r.c_custkey: r.far for r in QUERIES["coord_mismatch"](spark, str(tmp_path)).collect()}
     written = lambda x: float("%.2f" % x)
     assert rows == {2 + 5 * i: abs(written(b / 200) - written(b / 200 + 0.2)) > 0.2 for i, b in enumerate(balances)}
+
+
+def test_texts_are_read_once(monkeypatch):
+    # Each report is the next one's reference: three texts of two figures, not four.
+    read, real = [], X._unit
+    monkeypatch.setattr(X, "_unit", lambda *a: read.append(a) or real(*a))
+    texts = [f"Temperature {t}°C and wind {t} m/s, once read" for t in (11, 12, 13)]
+    for a, b in zip(texts, texts[1:], strict=False):
+        assert len(X.pairs(X.facts(a, "forecast"), X.facts(b, "forecast"), "forecast")) == 2
+    assert len(read) == 6
