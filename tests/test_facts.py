@@ -141,3 +141,16 @@ def test_texts_are_read_once(monkeypatch):
     for a, b in zip(texts, texts[1:], strict=False):
         assert len(X.pairs(X.facts(a, "forecast"), X.facts(b, "forecast"), "forecast")) == 2
     assert len(read) == 6
+
+
+def test_conditions_are_read_once(monkeypatch):
+    read, real = [], X.scope_before
+    monkeypatch.setattr(X, "scope_before", lambda *a: read.append(a) or real(*a))
+    texts = [f"rain on day {t} of the forecast" for t in (1, 2, 3)]
+    for a, b in zip(texts, texts[1:], strict=False):
+        assert X.adjustment("", a, b, "forecast") == 0
+    assert len(read) == 3
+    # What is handed out may be changed by whoever asked for it.
+    X.conditions(texts[0].encode()).clear()
+    X.facts(texts[0], "forecast").append(None)
+    assert len(X.conditions(texts[0].encode())) == 1 and None not in X.facts(texts[0], "forecast")
