@@ -88,12 +88,17 @@ def negated(df: DataFrame, key: str, text: str, reach: int = 4) -> DataFrame:
     return rows.withColumn("negated", F.coalesce(F.max(X.is_negator(F.col("token"))).over(near), F.lit(False)))
 
 
-def polarity(rows: DataFrame, key: str, axis: str) -> DataFrame:
-    """The sign of the first decisive token of an axis, turned by negation, and whether both signs occur."""
-    for_it, against = X.axis_words(axis)
-    sign = F.when(F.col("word").isin(*for_it), 1).when(F.col("word").isin(*against), -1)
-    signed = rows.withColumn("sign", F.when(F.col("negated"), -sign).otherwise(sign)).where("sign IS NOT NULL")
-    return signed.groupBy(key).agg(F.min_by("sign", F.struct("clause", "pos")).alias("sign"), (F.countDistinct("sign") > 1).alias("mixed"))
+def polarities(rows: DataFrame, key: str, axes: list[str]) -> DataFrame:
+    """Per axis the sign of the first decisive token, turned by negation, and whether both signs occur; the rows are read once for all axes."""
+
+    def sign(axis: str) -> Column:
+        for_it, against = X.axis_words(axis)
+        one = F.when(F.col("word").isin(*for_it), 1).when(F.col("word").isin(*against), -1)
+        return F.struct(F.lit(axis).alias("axis"), F.when(F.col("negated"), -one).otherwise(one).alias("sign"))
+
+    decisive = rows.where(F.col("word").isin(*(w for a in axes for words in X.axis_words(a) for w in words)))
+    signed = decisive.select(key, F.struct("clause", "pos").alias("at"), F.explode(F.array(*map(sign, axes))).alias("x")).select(key, "at", "x.axis", "x.sign").where("sign IS NOT NULL")
+    return signed.groupBy(key, "axis").agg(F.min_by("sign", "at").alias("sign"), (F.min("sign") != F.max("sign")).alias("mixed"))
 
 
 def entity_figures(text: Column, reach: int = 4) -> Column:

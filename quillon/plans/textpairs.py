@@ -132,9 +132,7 @@ def _axis_sql(axis: str) -> str:
 
 @register("polarity_axes", f"WITH {_SOURCE_SQL}, t AS ({_NEGATED_SQL}) " + " UNION ALL ".join(_axis_sql(a) for a in AXES))
 def polarity_axes(spark, sf_dir):
-    rows = P.negated(_claims(spark, sf_dir), "item_id", "text")
-    parts = [P.polarity(rows, "item_id", a).withColumn("axis", F.lit(a)) for a in AXES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("item_id", "axis", "sign", "mixed")
+    return P.polarities(P.negated(_claims(spark, sf_dir), "item_id", "text"), "item_id", list(AXES)).select("item_id", "axis", "sign", "mixed")
 
 
 @register("precision_recall_f", f"""

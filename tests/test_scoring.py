@@ -99,3 +99,12 @@ def test_bridges():
     start = time.process_time()
     S.bridged(many, many)
     assert time.process_time() - start < 0.5
+
+
+def test_axes_are_read_in_one_pass(spark, tmp_path):
+    from quillon.plans.catalogue import QUERIES
+
+    spark.createDataFrame([(3, "Not a rise, yes. It fell; a fake"), (7, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["polarity_axes"](spark, str(tmp_path))
+    assert {(r.item_id, r.axis, r.sign, r.mixed) for r in got.collect()} == {(3, "direction", -1, False), (3, "verdict", 1, False), (3, "authenticity", -1, False)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
