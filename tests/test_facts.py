@@ -154,3 +154,15 @@ def test_conditions_are_read_once(monkeypatch):
     X.conditions(texts[0].encode()).clear()
     X.facts(texts[0], "forecast").append(None)
     assert len(X.conditions(texts[0].encode())) == 1 and None not in X.facts(texts[0], "forecast")
+
+
+def test_similarity_keeps_projections_in_the_worker(spark):
+    from quillon.functions import vectors
+    from quillon.session import ship_package
+
+    ship_package(spark)
+    df = spark.createDataFrame([("rain in Oslo", "Oslo: rain, wind"), ("", "x"), (None, None), ("a b c", "a b c")], "a string, b string")
+    both = df.select(projection.similarity(F.col("a"), F.col("b")).alias("x"), vectors.cosine(projection.projection(F.col("a")), projection.projection(F.col("b"))).alias("y"))
+    assert all(r.x == r.y for r in both.collect())
+    plan = df.select(projection.similarity(F.col("a"), F.col("b")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
